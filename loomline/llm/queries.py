@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomline.plans.session import ship
 
-from . import near_dedup, packing
+from . import decontaminate, language_id, near_dedup, packing, secrets
 
 #: Where tokenizer files are; a parameter, they are not part of this repository.
 TOKENIZERS = os.environ.get("LOOMLINE_TOKENIZERS", "/opt/tokenizers")
@@ -24,12 +24,27 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_decontamination": op6_decontamination,
+    "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
