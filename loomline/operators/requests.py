@@ -11,11 +11,11 @@ from loomline.schemas import BLOCK
 # Fixed values.
 RECENT_TURNS, WINDOW_TOKENS, WINDOW_SHARE = 4, 200_000, 0.8
 SAMPLES_A_REQUEST = 4
-_NAMES = [f.name for f in BLOCK.fields]
+_FIELDS = [f.split() for f in BLOCK.split(", ")]
 
 
 def _rows(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.select(*(columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in BLOCK.fields))
+    return df.select(*(columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _FIELDS))
 
 
 def _v(v: Column, path: str, kind: str = "string") -> Column:

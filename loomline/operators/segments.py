@@ -37,23 +37,36 @@ def _arguments(args: Column) -> Column:
     return F.coalesce(F.when(F.try_parse_json(args).isNotNull(), args), _json_string(args), F.lit('""'))
 
 
-def segment_of(message: Column, position: Column, n: Column) -> Column:
-    """A message of a history as a segment struct."""
-    called = F.coalesce(F.size(message["tool_calls"]), F.lit(0)) > 0
-    kind = X.message_kind(message["role"], message["content"], F.when(called, F.coalesce(F.get(message["tool_calls"], 0)["function"]["name"], F.lit(""))), position)
-    body = F.coalesce(message["content"], F.lit(""))
-    body = F.when(kind == "system_prompt", X.clip_system(body)).otherwise(body)
-    calls = tool_calls_text(message["tool_calls"])
-    content = F.when(~called, body).when(body != "", F.concat(body, F.lit("\n"), calls)).otherwise(calls)
-    return F.struct(
-        F.concat(F.lit("s"), position.cast("string")).alias("seg_id"),
-        F.coalesce(message["role"], F.lit("unknown")).alias("role"),
-        kind.alias("kind"),
-        content.alias("content"),
-        X.tokens_floor(content).alias("tokens"),
-        F.lit(None).cast("string").alias("file_path"),
-        (position == n - 1).alias("is_current_turn"),
-        position.cast("int").alias("turn_idx"),
+def history_segments(messages: Column) -> Column:
+    """Messages of a history as segment structs.
+
+    Kind, content and size come in steps of their own, each over the array that
+    the one before made, so that no expression is written out inside another.
+    """
+    name = lambda m: F.get(m["tool_calls"], 0)["function"]["name"]
+    seen = F.transform(
+        messages,
+        lambda m, i: F.struct(
+            i.alias("i"), F.coalesce(m["role"], F.lit("unknown")).alias("role"), F.coalesce(m["content"], F.lit("")).alias("body"),
+            F.when(F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0, m["tool_calls"]).alias("calls"), F.coalesce(name(m), F.lit("")).alias("name"),
+        ),
+    )
+    kinds = F.transform(seen, lambda x: F.struct(x.alias("m"), X.message_kind(x["role"], x["body"], F.when(x["calls"].isNotNull(), x["name"]), x["i"]).alias("kind")))
+    clipped = F.transform(kinds, lambda x: x.withField("body", F.when(x["kind"] == "system_prompt", X.clip_system(x["m"]["body"])).otherwise(x["m"]["body"])))
+    called = F.transform(clipped, lambda x: x.withField("calls", tool_calls_text(x["m"]["calls"])))
+    told = F.transform(called, lambda x: x.withField("content", F.when(x["calls"].isNull(), x["body"]).when(x["body"] != "", F.concat(x["body"], F.lit("\n"), x["calls"])).otherwise(x["calls"])))
+    return F.transform(
+        told,
+        lambda x: F.struct(
+            F.concat(F.lit("s"), x["m"]["i"].cast("string")).alias("seg_id"),
+            x["m"]["role"].alias("role"),
+            x["kind"].alias("kind"),
+            x["content"].alias("content"),
+            X.tokens_floor(x["content"]).alias("tokens"),
+            F.lit(None).cast("string").alias("file_path"),
+            (x["m"]["i"] == F.size(messages) - 1).alias("is_current_turn"),
+            x["m"]["i"].cast("int").alias("turn_idx"),
+        ),
     )
 
 
@@ -80,7 +93,7 @@ def samples(trajectories: DataFrame, most: int = MAX_SAMPLES) -> DataFrame:
     at_ = F.filter(F.transform(messages, lambda m, i: F.when(m["role"] == "assistant", i)), lambda i: i.isNotNull())
     rows = trajectories.select("*", F.posexplode(downsampled(at_, most)).alias("turn_idx", "decision_idx")).filter(F.col("decision_idx") >= LEAST_HISTORY)
     history = F.slice(messages, F.lit(1), F.col("decision_idx"))
-    rows = rows.withColumn("input_segments", F.transform(history, lambda m, i: segment_of(m, i, F.col("decision_idx"))))
+    rows = rows.withColumn("input_segments", history_segments(history))
     return rows.select(
         F.concat("trajectory_id", F.lit("_t"), F.col("turn_idx").cast("string")).alias("sample_id"),
         "trajectory_id",

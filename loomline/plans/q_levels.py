@@ -150,7 +150,7 @@ FROM n GROUP BY 1""",
 def sample_levels(t: Tables) -> DataFrame:
     """Levels of all segments of samples, assigned inside the rows without a shuffle (W3, PF15)."""
     rows = segments.labelled(segments.samples(trajectories(t)))
-    return rows.select(F.explode("token_labels").alias("l")).groupBy("l.level").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.explode("token_labels.level").alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

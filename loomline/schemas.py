@@ -1,22 +1,18 @@
-"""Nested types of trajectories, segments, samples and their derivatives, and the enums over them."""
-
-from __future__ import annotations
-
-from pyspark.sql import types as T
+"""Nested types of trajectories, segments, samples and their derivatives, and the enums over them.
 
+Types are DDL text, which every reader and function takes and which needs no session.
+"""
 
-def _type(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
-
+from __future__ import annotations
 
 TOOL_CALL = "struct<function: struct<name: string, arguments: string>>"
 MESSAGE = f"struct<role: string, content: string, tool_calls: array<{TOOL_CALL}>>"
-TRAJECTORY = _type(f"trajectory_id string, repo string, resolved int, trajectory array<{MESSAGE}>")
+TRAJECTORY = f"trajectory_id string, repo string, resolved int, trajectory array<{MESSAGE}>"
 
 SEGMENT_FIELDS = "seg_id string, role string, kind string, content string, tokens int, file_path string, is_current_turn boolean, turn_idx int"
 SEGMENT = "struct<" + SEGMENT_FIELDS.replace(" string", ": string").replace(" int", ": int").replace(" boolean", ": boolean") + ">"
 TARGET = "struct<type: string, name: string, args: string, content: string>"
-SAMPLE = _type(
+SAMPLE = (
     f"sample_id string, trajectory_id string, turn_idx int, decision_idx int, repo string, resolved boolean, input_segments array<{SEGMENT}>, target_action {TARGET}, total_input_tokens int"
 )
 SPAN = "struct<start: int, end: int, kind: string, text: string>"
@@ -24,19 +20,19 @@ SFT_METADATA = (
     "struct<sample_id: string, trajectory_id: string, repo: string, resolved: boolean, compression_budget: int, original_tokens: int, n_segments: int,"
     " n_must_keep: int, n_stale: int, was_truncated: boolean, target_action_name: string, length_bucket: string>"
 )
-SFT = _type(f"messages array<struct<role: string, content: string>>, metadata {SFT_METADATA}")
-POOL = _type(
+SFT = f"messages array<struct<role: string, content: string>>, metadata {SFT_METADATA}"
+POOL = (
     "entry_id string, sample_id string, seg_id string, kind string, level string, repo string, user_intent string, original string,"
     " seg_original_chars int, sample_budget_tokens int, sample_original_tokens int"
 )
-COMPRESSED = T.StructType([*POOL.fields, *_type("compressed string, dropped boolean, compressed_chars int, ratio double, finish_reason string, error string, raw_compressed string").fields])
-BATCH_RESULT = _type(
+COMPRESSED = POOL + ", compressed string, dropped boolean, compressed_chars int, ratio double, finish_reason string, error string, raw_compressed string"
+BATCH_RESULT = (
     "custom_id string, response struct<status_code: int, body: struct<choices: array<struct<message: struct<content: string>, finish_reason: string>>, usage: struct<completion_tokens: int>>>"
 )
-USAGE = _type(
+USAGE = (
     "seq bigint, model string, status int, content_orig bigint, content_comp bigint, tools_orig bigint, tools_comp bigint, skipped bigint, skip_reason string, expanded bigint"
 )
-BLOCK = _type("request_id string, msg_idx int, block_idx int, role string, block_type string, tool_use_id string, tool_name string, tool_input string, text string")
+BLOCK = "request_id string, msg_idx int, block_idx int, role string, block_type string, tool_use_id string, tool_name string, tool_input string, text string"
 
 # Kinds of segments, retention levels and the groups that rules name.
 PROTECTED_KINDS = ("system_prompt", "user_turn_current", "user_turn_history")

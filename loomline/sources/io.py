@@ -42,7 +42,7 @@ def tolerant_json_lines(spark: SparkSession, path: str, schema: T.StructType) ->
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """Files as ``path, text`` (SC14)."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def events_of_stream(lines: DataFrame) -> DataFrame:
