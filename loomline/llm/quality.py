@@ -1,7 +1,7 @@
 """Quality rules: fixed base rules and a calibrated hashed n-gram classifier.
 
 The classifier is a logistic regression over hashed word 1- and 2-grams and byte
-4-grams, learned from a bounded sample of labelled rows and calibrated on a part
+2- and 4-grams, learned from a bounded sample of labelled rows and calibrated on a part
 of it that it did not see.  Scoring needs the weights alone: one Arrow pass.
 """
 
@@ -25,7 +25,8 @@ THRESHOLD = 0.5
 SAMPLE = 3000
 BITS = 15
 EPOCHS = 150
-CHARS = 4
+CHARS = (2, 4)
+FAMILIES = 2 + len(CHARS)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -106,13 +107,15 @@ class Block:
         yield (self.hash >> shift).astype(np.int64), self.words.first
         two, bounds = at.windows(self.hash, self.words.first, 2)
         yield (two >> shift).astype(np.int64) + (1 << bits), bounds
-        d, n = self.data.astype(np.uint32), np.maximum(np.diff(self.offsets) - CHARS + 1, 0)
-        code = np.zeros(max(len(d) - CHARS + 1, 0), np.uint32)
-        for k in range(CHARS):
-            code |= d[k : len(code) + k] << np.uint32(8 * k)
-        starts = np.arange(int(n.sum())) + np.repeat(self.offsets[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        h = (code[starts] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-        yield h.astype(np.int64) + (2 << bits), np.concatenate([[0], np.cumsum(n)])
+        d, size = self.data.astype(np.uint32), np.diff(self.offsets)
+        for family, k in enumerate(CHARS, 2):
+            n = np.maximum(size - k + 1, 0)
+            code = np.zeros(max(len(d) - k + 1, 0), np.uint32)
+            for i in range(k):
+                code |= d[i : len(code) + i] << np.uint32(8 * i)
+            starts = np.arange(int(n.sum())) + np.repeat(self.offsets[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            h = (code[starts] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+            yield h.astype(np.int64) + (family << bits), np.concatenate([[0], np.cumsum(n)])
 
 
 @dataclass
@@ -202,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     if len(set(y[~held])) < 2:
         return None
     flat = rows.combine_chunks()
-    size = 3 << BITS
+    size = FAMILIES << BITS
 
     def part(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = flat.filter(pa.array(which))
