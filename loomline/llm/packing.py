@@ -18,50 +18,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
-MEMO = 400_000  # chunks of text whose ids a worker remembers; then it starts anew
 #: Remainders that a task holds before it packs them; bounds its memory, not its input.
 POOL = 200_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: The tokenizer's own split of text before merges, as its byte-level pre-tokenizer does it.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes.
+    """Token ids of a byte-level BPE tokenizer file, as little-endian unsigned 32-bit bytes.
 
-    A token of this byte-level vocabulary never reaches over a space that follows
-    a non-space, so a text is cut there and each distinct chunk is encoded once.
+    A byte-level vocabulary lists its tokens in the order of their merges, so its
+    ids serve as ranks, and a rank encoder gives the same ids at a fifth of the
+    time.  It is quadratic in a word's length; texts with enormous words take the
+    tokenizer itself.
     """
 
-    _twice = re.compile(r"\s\s")
-    _cut = re.compile(r"(?<=\S)(?= )")
+    _blank = re.compile(r"\s{1000}")
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        if self._twice.search(text):
-            return self._cut.split(text)
-        first, *rest = text.split(" ")
-        out = [" " + x for x in rest]
-        return [first, *out] if first else out
+        special = set(self.tokenizer.get_added_tokens_decoder())
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
+        hidden = [b for b in range(256) if b not in set(plain)]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(hidden)}
+        ranks = {bytes(byte[c] for c in token): k for token, k in self.tokenizer.get_vocab().items() if k not in special}
+        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        memo, chunks = self.memo, self.chunks(text)
-        if new := [c for c in dict.fromkeys(chunks) if c not in memo]:
-            if len(memo) > MEMO:
-                memo.clear()
-                new = list(dict.fromkeys(chunks))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    memo[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([memo[c] for c in chunks])
+        if len(text) >= 1000 and (max(map(len, text.split()), default=0) >= 1000 or self._blank.search(text)):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def fill(counts: dict[int, int], target: int) -> list[tuple[int, int]]:
