@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from loomline.llm import decontaminate, near_dedup, secrets
@@ -24,7 +25,9 @@ def test_stages(spark, data):
     assert all(len(r["text"]) == r["n_chars"] for r in docs.collect())
     pieces = P.STAGES[-1][1](spark, docs, data)
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
-    assert P.run(spark, data).count() == pieces.count()
+    # Where documents are cut depends on the partitions; what they hold does not.
+    total = lambda df: {(r["doc_id"], r["n"]) for r in df.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert total(P.run(spark, data)) == total(pieces)
 
 
 def test_awkward(spark, data, awkward, empty):
