@@ -168,9 +168,7 @@ SELECT *, original - compressed AS saved, CASE WHEN original > 0 THEN round_even
 )
 def usage_snapshot(t: Tables) -> DataFrame:
     """Totals of the log with expansions given back."""
-    log = usage_log(t)
-    total = accounting.snapshot(log.withColumn("expanded", F.col("expanded")))
-    return total.withColumn("expansions", F.col("expansions"))
+    return accounting.snapshot(usage_log(t))
 
 
 @query("skipped_by_reason", f"WITH {SQL_LOG} SELECT skip_reason, count(*) AS n, sum(skipped)::BIGINT AS tokens FROM log WHERE status BETWEEN 200 AND 299 AND skip_reason IS NOT NULL GROUP BY 1")

@@ -547,4 +547,5 @@ def stream_frozen_selection(t: Tables) -> DataFrame:
 def stream_windows(t: Tables) -> DataFrame:
     """Event-time windows, all of them closed by the end of the input (an addition)."""
     events, path = _stream(t, "events")
-    return state.run_totals(state.windowed(_timed(events), "ts", "1 day", "365 days", "event_type"), f"{path}/out", f"{path}/cp")
+    out = state.run_totals(state.windowed(_timed(events), "ts", "1 day", "365 days", "event_type"), f"{path}/out", f"{path}/cp")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline import schemas
 from loomline.functions import budget, chunking, edits, lint, spans, tokens
 from loomline.functions import text as X
-from loomline.operators import accounting, compress, levels, requests, sampling, segments, tools, validate
+from loomline.operators import accounting, compress, dataset, levels, requests, sampling, segments, tools, validate
 from loomline.sources import io
 
 
@@ -404,3 +404,48 @@ def test_sinks(spark, tmp_path):
     assert lines[:3] == ["## T", "", "| id | v |"] and lines[-1] == "| 2 | b |"
     (tmp_path / "p.txt").write_text("one\ntwo")
     assert io.whole_texts(spark, f"{tmp_path}/p.txt").first()["text"] == "one\ntwo"
+
+
+def trajectory(k):
+    call = lambda name, args: [{"function": {"name": name, "arguments": args}}]
+    body = "".join(f"def handler_{k}_{i}_x(value):\n    raise ValueError('/workspace/app/mod_{i}.py')\n" for i in range(90))
+    path = '{"path": "/w/a.py"}'
+    turns = [("system", "s" * 600, None), ("user", "start", None), ("assistant", "look", call("str_replace_editor", path)), ("tool", body, None), ("assistant", "again", call("str_replace_editor", path)), ("tool", body, None), ("assistant", "run", call("execute_bash", "ls"))]
+    return (f"t{k}", "repo", k % 2, turns)
+
+
+def test_training_rows(spark):
+    rows = spark.createDataFrame([trajectory(k) for k in range(40)], schemas.TRAJECTORY)
+    out = dataset.built(rows, "SYSTEM", 30, 4).collect()  # four strata of one validation row each
+    assert {r["split"] for r in out} == {"train", "val"} and sum(r["split"] == "train" for r in out) == 30
+    for r in out:
+        m, user = r["metadata"], r["messages"][1]["content"]
+        assert r["messages"][0]["content"] == "SYSTEM" and m["n_must_keep"] >= 5 and m["target_action_name"] in ("str_replace_editor", "execute_bash")
+        assert user.count("[SEG id=") == user.count("[/SEG]") == m["n_segments"] and "- error_class: `ValueError`" in user
+        assert m["n_stale"] == (1 if m["sample_id"].endswith("_t2") else 0)
+    pool = dataset.segment_pool(dataset.prepared(rows.limit(1)), least=1000).collect()
+    assert pool and all(r["entry_id"] == f"{r['sample_id']}__{r['seg_id']}" and r["user_intent"] == "start" for r in pool)
+
+
+def test_truncation_of_samples(spark):
+    rows = spark.createDataFrame([trajectory(1)], schemas.TRAJECTORY)
+    out = dataset.prepared(rows, most_tokens=2500).orderBy("sample_id").collect()
+    assert [r["was_truncated"] for r in out] == [False, True] and out[1]["total_input_tokens"] <= 2500
+
+
+def test_recovered_edits(spark):
+    reads = spark.createDataFrame([("/a", 1, "x = 1\ny = 2\n"), ("/a", 2, "x = 1\n\ny  =  2  # two\n"), ("/b", 1, "z")], "path string, seq int, content string")
+    calls = spark.createDataFrame([("/a", 3, "x = 1 y = 2", "x = 1 y = 3"), ("/b", 3, "q", "r"), ("/c", 3, "q", "r")], "path string, seq int, old string, new string")
+    got = {r["path"]: r["recovered"]["old"] for r in dataset.recovered_edits(calls, reads).collect()}
+    assert got == {"/a": "x = 1\n\ny  =  2", "/b": None, "/c": None}
+
+
+def test_small_rules(spark):
+    rates = spark.createDataFrame([(0.5,), (0.8,), (0.9,)], "r double")
+    assert [r[0] for r in rates.select(validate.decision(F.col("r"))).collect()] == ["stop", "warn", "go"]
+    blocks = spark.createDataFrame([("r", i, i % 3, i == 1) for i in range(12)], "id string, i int, saving int, skipped boolean")
+    assert [r["i"] for r in requests.sampled(blocks, "id", "i", "saving", "skipped").orderBy("i").collect()] == [2, 4, 5, 7]
+    assert one(spark, X.command_frame(F.col("t")), t="Exit code: 0\nOutput:\nhello\n") == ("Exit code: 0\nOutput:\n", "hello\n")
+    assert one(spark, X.intent_text(F.col("a"), F.col("b")), a=" why ", b="do it") == "why\n(overall task: do it)"
+    assert one(spark, X.label_category(F.col("t")), t="Docstring kept") == "docstring" and one(spark, X.sanitized_source(F.col("t")), t=" a]b\nc ") == "a_b c"
+    assert one(spark, X.looks_truncated(F.col("t")), t="[SEG id=a] x") is True
