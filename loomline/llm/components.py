@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import drop, save
 
 
-def _narrow(df: DataFrame) -> DataFrame:
+def _dealt(df: DataFrame) -> DataFrame:
     """Put an exchange over an aggregate, so that a join on its key can split a hot key."""
     return df.repartition("m")
 
@@ -17,20 +17,24 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours point to the least node of its neighbourhood."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(_narrow(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.filter("v > u").join(_dealt(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours point to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(_narrow(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined = down.join(_dealt(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-    return tuple(row)
+def _saved(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and checksums, told by the job that wrote it."""
+    seen = Observation()
+    told = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("a"), F.bit_xor(F.xxhash64("v", "u")).alias("b"))
+    out = save(told, "links")
+    got = seen.get
+    return out, (got["n"], got["a"], got["b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,14 +45,13 @@ def components(links: DataFrame) -> DataFrame:
     whose hot keys can be split; the edge list is written to the shared folder
     after a round, and only its size and checksum reach the driver.
     """
-    edges = save(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = _state(edges)
+    edges, before = _saved(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while before[0]:
-        after = save(_small_star(_large_star(edges)), "links")
-        state = _state(after)
+        after, state = _saved(_small_star(_large_star(edges)))
         drop(edges)
         edges = after
         if state == before:
             break
         before = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    own = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return own.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

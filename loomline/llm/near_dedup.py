@@ -5,10 +5,13 @@ under many universal hashes; texts with one shingle set collapse to a class;
 bands of minima propose pairs of classes; signatures and then whole shingle sets
 confirm them; components come from large-star and small-star.
 
-A band bucket never becomes all of its pairs.  A round links the members of each
-bucket to one pivot; what a round joined needs no further pair, so only buckets
-whose members still lie in different components go on, with new pivots, until
-every pair across components has been compared.
+A band bucket never becomes all of its pairs.  First its members are linked to
+one pivot, the member that shares most buckets with others: of a group of copies
+that is near the original.  Only buckets whose members still lie in different
+components go on.  There, blocks of the members outside the pivot's component are
+held against all of the bucket's rows, whole set by whole set inside one row, and
+only links leave the comparison.  Every member outside is in one block, so in the
+end every pair across components has been compared.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from .shared import drop, save
 SHINGLE = 5
 SIMILARITY = 75  # per cent of the union
 BANDS, ROWS = 40, 4  # a pair at the threshold is missed with probability (1 - .75^4)^40 = 2e-7
-#: Signatures that agree less are not confirmed: 5.8 standard deviations under the threshold.
+#: Signatures, a byte of each minimum, that agree less are not confirmed: 5.8 standard deviations under the threshold.
 SIGNATURE_LEAST = 55
-PIVOTS = 16
+#: Members of a bucket that one block holds against its rows, about, and shingles in them.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, minima array<int>"
+_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, minima array<tinyint>"
 
 
 def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +99,7 @@ def _sign(bands: int, rows: int):
                     pa.array(sums[0].view(np.int64)),
                     pa.array(sums[1].view(np.int64)),
                     _lists(keys.reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(per * bands)])),
-                    _lists((minima >> np.uint64(32)).astype(np.uint32).T.reshape(-1).view(np.int32), np.concatenate([[0], np.cumsum(per * bands * rows)])),
+                    _lists((minima >> np.uint64(56)).astype(np.uint8).T.reshape(-1).view(np.int8), np.concatenate([[0], np.cumsum(per * bands * rows)])),
                 ],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "minima"],
             )
@@ -121,6 +125,37 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, similarity:
     return pairs.filter(100 * both >= similarity * (F.size("set_a") + F.size("set_b") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
+def _across(rows: DataFrame, sets: DataFrame, block: int, similarity: int) -> DataFrame:
+    """Links between one block of the members outside and all rows of open buckets.
+
+    ``rows``: (bucket, node, component, anchor, blocks), ``sets``: (node, bands,
+    shingles).  A pair is compared in the first bucket that it shares, which needs
+    no step to remove repeated pairs.
+    """
+    own = (F.col("component") != F.col("anchor")) & (F.pmod(F.xxhash64("node"), F.col("blocks")) == block)
+    chosen = rows.filter(own).select("bucket", "node", "component").join(sets, "node")
+    chosen = chosen.groupBy("bucket").agg(F.collect_list(F.struct("node", "component", "bands", "shingles")).alias("outside"))
+    held = rows.select("bucket", "node", "component").join(sets, "node").join(_dealt(chosen, "outside"), "bucket")
+
+    def linked(p):
+        first = F.get(F.filter(F.arrays_zip(F.col("bands").alias("x"), p["bands"].alias("y")), lambda z: z["x"] == z["y"]), 0)["x"]
+        both = F.size(F.array_intersect(F.col("shingles"), p["shingles"]))
+        near = 100 * both >= similarity * (F.size("shingles") + F.size(p["shingles"]) - both)
+        return F.when(p["component"] == F.col("component"), F.lit(False)).when(first != F.col("bucket"), F.lit(False)).otherwise(near)
+
+    links = held.select("node", F.explode(F.transform(F.filter("outside", linked), lambda p: p["node"])).alias("a"))
+    return links.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v"))
+
+
+def _merged(label: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after new links: the components that they join take the least of their names."""
+    for side in "uv":
+        found = found.join(label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side)
+    moved = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    moved = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return save(label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+
+
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text, ...)``.
 
@@ -139,38 +174,50 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int =
     signed = save(texts.mapInArrow(_sign(bands, rows), _SIGNED), "signed")
     key = ["n_shingles", "set_a", "set_b"]
     classes = save(signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node")), "classes")
-    own = save(
-        signed.filter("n_shingles > 0").join(classes, key).filter("doc_id = node").dropDuplicates(["node", *key]).select("node", "bands", "minima"), "representatives"
-    )
+    own = signed.filter("n_shingles > 0").join(classes, key).filter("doc_id = node").dropDuplicates(["node", *key])
+    own = save(own.select("node", F.col("n_shingles").alias("n"), "bands", "minima"), "representatives")
+    thin = save(signed.select("doc_id", *key), "keys")
+    drop(signed)
+
     members = own.select("node", F.explode("bands").alias("bucket"))
-    shared = save(members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-    pool = save(members.join(shared, "bucket").select("bucket", "node", "pivot"), "pool")
+    shared = save(members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    met = save(members.join(shared, "bucket"), "members")
+    weight = met.groupBy("node").agg(F.sum("size").alias("weight")).join(own.select("node", "n"), "node")
+    pool = save(met.join(_dealt(weight, "weight"), "node").select("bucket", "node", "n", "weight"), "weighted")
+    drop(met)
+    drop(shared)
+    pivot = save(pool.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot")), "pivots")
+    paired = save(pool.join(pivot, "bucket").filter("node <> pivot"), "paired")
     wanted = pool.select("node").distinct()
-    sets = save(texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node", "shingles"]), "sets")
-    pairs = pool.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = save(_confirmed(pairs, own, sets, similarity), "confirmed")
-    label = save(components(links), "components")
-    open_ = pool.filter("node <> pivot").select("bucket", "node")
-    while True:
-        # Only buckets whose members lie in several components have pairs left that matter.
-        now = open_.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        spread = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("bucket", "least")
-        left = save(now.join(spread.repartition("least"), "bucket"), "open")
-        if left.isEmpty():
-            break
-        outside = left.filter("component <> least")
-        pivots = outside.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")).agg(F.min("node").alias("a"))
-        pivots = save(pivots.join(label.withColumnRenamed("node", "a"), "a", "left").select("bucket", "a", F.coalesce("component", "a").alias("component_a")), "pivots")
-        crossed = left.join(pivots, "bucket").filter("component <> component_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        found = save(_confirmed(crossed, own, sets, similarity), "confirmed")
-        if not found.isEmpty():
-            links = links.union(found)
-            label = save(components(links), "components")
-        open_ = left.join(pivots.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+    sets = texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = save(sets.dropDuplicates(["node", "shingles"]).join(own.select("node", "bands"), "node"), "sets")
+    links = _confirmed(paired.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), own, sets, similarity)
+    label = save(wanted.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+    drop(own)
     drop(pool)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """Rows of buckets with their component and that of the bucket's pivot."""
+        anchors = pivot.join(label.withColumnRenamed("node", "pivot"), "pivot").select("bucket", F.col("component").alias("anchor"))
+        return rows.join(label, "node").join(_dealt(anchors, "anchor"), "bucket")
+
+    # Only buckets with members outside their pivot's component have pairs left that matter.
+    now = placed(paired.select("bucket", "node", "n"))
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.max("n"))))
+    outside = now.filter("component <> anchor").groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    left = save(now.join(_dealt(outside, "blocks"), "bucket").select("bucket", "node", "component", "anchor", "blocks"), "open")
+    drop(paired)
+    for k in range(left.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0]):
+        rows = placed(left.filter(F.col("blocks") > k).select("bucket", "node", "blocks")) if k else left
+        found = save(_across(rows, sets, k, similarity), "across")
+        if not found.isEmpty():
+            label = _merged(label, found)
+        drop(found)
+    drop(left)
     drop(sets)
+
     ids = classes.join(label, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", *key).join(_dealt(ids), key, "left")
+    out = thin.join(_dealt(ids, "node"), key, "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
@@ -182,6 +229,6 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int =
     )
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    """An exchange over what a join made, so that the next join can split a hot class."""
-    return df.repartition("node")
+def _dealt(df: DataFrame, column: str) -> DataFrame:
+    """Put an exchange over an aggregate or a join, so that the next join can split a hot key."""
+    return df.repartition(column)

@@ -36,11 +36,23 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back."""
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Once the table stands, the shuffle files of the job that wrote it are of no use
+    and go at once.
+    """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomline_path = path
     return out
