@@ -22,7 +22,7 @@ REPEATED_PERCENT = 50
 #: Calibrated probability of good quality from which a document is kept.
 THRESHOLD = 0.5
 #: Labelled rows to learn from, at most; drawn by a hash of doc_id.
-SAMPLE = 3000
+SAMPLE = 2000
 BITS = 15
 EPOCHS = 150
 CHARS = (2, 4)
@@ -140,17 +140,17 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = [], []
         for d in range(block.num_rows):
             found = [np.unique(b[at_[d] : at_[d + 1]], return_counts=True) for b, at_ in families]
-            keys.append(np.concatenate([k for k, _ in found]))
+            keys.append(np.concatenate([k for k, _ in found]).astype(np.int32))
             values.append(np.concatenate([n / max(n.sum(), 1) for _, n in found]).astype(np.float32))
         yield pa.RecordBatch.from_arrays(
-            [block.column("quality"), block.column("draw"), pa.array(keys, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float32()))], names=["quality", "draw", "keys", "values"]
+            [block.column("quality"), block.column("draw"), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["quality", "draw", "keys", "values"]
         )
 
 
 def _fit(keys: np.ndarray, values: np.ndarray, rows: np.ndarray, y: np.ndarray, size: int, epochs: int) -> tuple[np.ndarray, float]:
     """Logistic regression by AdaGrad over all rows at once; both classes weigh the same."""
     scale = np.sqrt(np.maximum(np.bincount(keys, values, size) / max(len(y), 1), 1e-6))
-    x = values / scale[keys]  # rare buckets count as much as frequent ones
+    x = (values / scale[keys]).astype(np.float32)  # rare buckets count as much as frequent ones
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, bias, squares, bias_square = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(epochs):
@@ -196,25 +196,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The drawn ids are at most ``sample`` rows: a proven bound.
     drawn = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "draw")
-    rows = drawn.mapInArrow(_sparse, "quality long, draw long, keys array<long>, values array<float>").toArrow()
-    draw = rows.column("draw").to_numpy()
-    order = np.lexsort((np.array([len(k) for k in rows.column("keys")]), draw))
-    rows, draw = rows.take(pa.array(order)), draw[order]
-    y = rows.column("quality").to_numpy().astype(float)
-    held = draw % 5 == 0
+    rows = drawn.mapInArrow(_sparse, "quality long, draw long, keys array<int>, values array<float>").toArrow()
+    order = np.lexsort((np.array([len(k) for k in rows.column("keys")]), rows.column("draw").to_numpy()))
+    rows = rows.take(pa.array(order)).combine_chunks()
+    y, held = rows.column("quality").to_numpy().astype(float), rows.column("draw").to_numpy() % 5 == 0
     if len(set(y[~held])) < 2:
         return None
-    flat = rows.combine_chunks()
-    size = FAMILIES << BITS
 
     def part(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = flat.filter(pa.array(which))
-        lists = own.column("keys").combine_chunks()
+        own = rows.select(["keys", "values"]).filter(pa.array(which)).combine_chunks()
+        lists = own.column("keys").chunk(0)
         counts = np.diff(lists.offsets.to_numpy())
-        return lists.flatten().to_numpy(), own.column("values").combine_chunks().flatten().to_numpy().astype(float), np.repeat(np.arange(len(counts)), counts)
+        return lists.flatten().to_numpy().astype(np.int64), own.column("values").chunk(0).flatten().to_numpy(), np.repeat(np.arange(len(counts)), counts)
 
-    keys, values, at_ = part(~held)
-    weights, bias = _fit(keys, values, at_, y[~held], size, epochs)
+    weights, bias = _fit(*part(~held), y[~held], FAMILIES << BITS, epochs)
+    if not held.any():
+        return Model(weights, bias, 1.0, 0.0)
     keys, values, at_ = part(held)
     margin = np.bincount(at_, weights[keys] * values, int(held.sum())) + bias
     return Model(weights, bias, *_calibrate(margin, y[held]))

@@ -84,7 +84,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, broadcast_bytes: int = BRO
 
 def demo_captures(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url)`` as captures: page n was fetched n hours, modulo a year, into 2024."""
-    return pages.select("page_id", "url", F.timestamp_add("HOUR", F.pmod(F.col("page_id"), F.lit(8784)), F.lit("2024-01-01").cast("timestamp")).alias("fetched_at"))
+    return pages.select("page_id", "url", F.timestamp_add("HOUR", F.pmod(F.col("page_id"), F.lit(8784)), F.lit("2024-01-01").cast("timestamp_ntz")).alias("fetched_at"))
 
 
 #: What the demonstration list says of a domain, by the first hex digit of its MD5: actions and days into 2024.
@@ -106,7 +106,7 @@ def demo_entries(pages: DataFrame) -> DataFrame:
     for d, actions in FEED.items():
         told = F.when(digit == d, F.array(*(F.struct(F.lit(a).alias("action"), F.lit(k).alias("day")) for a, k in actions))).otherwise(told)
     rows = domains.select("domain", F.explode(told).alias("e"))
-    return rows.select("domain", "e.action", F.timestamp_add("DAY", F.col("e.day"), F.lit("2024-01-01").cast("timestamp")).alias("listed_at"))
+    return rows.select("domain", "e.action", F.timestamp_add("DAY", F.col("e.day"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("listed_at"))
 
 
 _FEED_ROWS = ", ".join(f"('{d}', '{a}', {k})" for d, actions in FEED.items() for a, k in actions)
