@@ -54,18 +54,19 @@ def actions(t: Tables) -> DataFrame:
     "flagship_levels",
     f"""WITH {SQL_ACTIONS}
 SELECT substr(told, 1, 2) AS level, count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(*) FILTER (is_stale) AS n_stale,
-  round(avg(rel), 6) AS avg_position, round(sum(value * CASE substr(told, 1, 2) WHEN 'L0' THEN 0.50 WHEN 'L1' THEN 0.35 WHEN 'L2' THEN 0.25 ELSE 0.20 END), 2) AS kept_value
+  round(avg(rel), 6) AS avg_position, sum(floor(value * 100)::BIGINT * CASE substr(told, 1, 2) WHEN 'L0' THEN 50 WHEN 'L1' THEN 35 WHEN 'L2' THEN 25 ELSE 20 END)::BIGINT AS kept_value_e4
 FROM l GROUP BY 1""",
 )
 def flagship(t: Tables) -> DataFrame:
     """How each actor's history is distributed over retention levels, and how much would be kept."""
-    ceiling = F.coalesce(*(F.when(F.col("level") == k, v) for k, v in budget.LEVEL_CEILING.items()))
+    # In whole numbers (hundredths of a value times per cent), so that no order of summation matters.
+    ceiling = F.coalesce(*(F.when(F.col("level") == k, round(100 * v)) for k, v in budget.LEVEL_CEILING.items()))
     return actions(t).groupBy("level").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("user_id").alias("n_users"),
         F.count_if("is_stale").alias("n_stale"),
         F.round(F.avg("relative_pos"), 6).alias("avg_position"),
-        F.round(F.sum(F.col("value") * ceiling), 2).alias("kept_value"),
+        F.sum(F.floor(F.col("value") * 100) * ceiling).alias("kept_value_e4"),
     )
 
 
@@ -170,8 +171,8 @@ def quality_filter(t: Tables) -> DataFrame:
     "document_budgets",
     """WITH d AS (SELECT doc_id, length(text) // 4 * 4 AS tokens, (length(text) // 40)::INT AS must FROM documents), r AS (
   SELECT *, CASE WHEN tokens < 5000 THEN 'short' WHEN tokens < 12000 THEN 'medium' WHEN tokens < 22000 THEN 'long' ELSE 'xlong' END AS bucket,
-    CASE WHEN tokens < 5000 THEN 0.50 WHEN tokens < 12000 THEN 0.35 WHEN tokens < 22000 THEN 0.25 ELSE 0.20 END AS ratio FROM d)
-SELECT doc_id, bucket, least(greatest(trunc(tokens * ratio), 800, trunc(must * 1.5)), trunc(tokens * 0.95))::INT AS budget FROM r""",
+    (CASE WHEN tokens < 5000 THEN 0.50 WHEN tokens < 12000 THEN 0.35 WHEN tokens < 22000 THEN 0.25 ELSE 0.20 END)::DOUBLE AS ratio FROM d)
+SELECT doc_id, bucket, least(greatest(trunc(tokens * ratio), 800, trunc(must * 1.5)), trunc(tokens * 0.95::DOUBLE))::INT AS budget FROM r""",
 )
 def document_budgets(t: Tables) -> DataFrame:
     """Length bucket and compression budget of each document, characters as tokens."""
