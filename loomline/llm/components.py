@@ -10,7 +10,7 @@ from .shared import drop, save
 
 def _dealt(df: DataFrame) -> DataFrame:
     """Put an exchange over an aggregate, so that a join on its key can split a hot key."""
-    return df.repartition("m")
+    return df.repartition("m", "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

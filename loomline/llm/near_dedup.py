@@ -134,8 +134,8 @@ def _across(rows: DataFrame, sets: DataFrame, block: int, similarity: int) -> Da
     """
     own = (F.col("component") != F.col("anchor")) & (F.pmod(F.xxhash64("node"), F.col("blocks")) == block)
     chosen = rows.filter(own).select("bucket", "node", "component").join(sets, "node")
-    chosen = chosen.groupBy("bucket").agg(F.collect_list(F.struct("node", "component", "bands", "shingles")).alias("outside"))
-    held = rows.select("bucket", "node", "component").join(sets, "node").join(_dealt(chosen, "outside"), "bucket")
+    chosen = chosen.groupBy("bucket").agg(F.collect_list(F.struct("node", "component", "bands", "shingles")).alias("outside"), F.min("node").alias("first"))
+    held = rows.select("bucket", "node", "component").join(sets, "node").join(_dealt(chosen, "first", "bucket"), "bucket")
 
     def linked(p):
         first = F.get(F.filter(F.arrays_zip(F.col("bands").alias("x"), p["bands"].alias("y")), lambda z: z["x"] == z["y"]), 0)["x"]
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int =
     shared = save(members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     met = save(members.join(shared, "bucket"), "members")
     weight = met.groupBy("node").agg(F.sum("size").alias("weight")).join(own.select("node", "n"), "node")
-    pool = save(met.join(_dealt(weight, "weight"), "node").select("bucket", "node", "n", "weight"), "weighted")
+    pool = save(met.join(_dealt(weight, "weight", "node"), "node").select("bucket", "node", "n", "weight"), "weighted")
     drop(met)
     drop(shared)
     pivot = save(pool.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot")), "pivots")
@@ -199,13 +199,13 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int =
     def placed(rows: DataFrame) -> DataFrame:
         """Rows of buckets with their component and that of the bucket's pivot."""
         anchors = pivot.join(label.withColumnRenamed("node", "pivot"), "pivot").select("bucket", F.col("component").alias("anchor"))
-        return rows.join(label, "node").join(_dealt(anchors, "anchor"), "bucket")
+        return rows.join(label, "node").join(_dealt(anchors, "anchor", "bucket"), "bucket")
 
     # Only buckets with members outside their pivot's component have pairs left that matter.
     now = placed(paired.select("bucket", "node", "n"))
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.max("n"))))
     outside = now.filter("component <> anchor").groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    left = save(now.join(_dealt(outside, "blocks"), "bucket").select("bucket", "node", "component", "anchor", "blocks"), "open")
+    left = save(now.join(_dealt(outside, "blocks", "bucket"), "bucket").select("bucket", "node", "component", "anchor", "blocks"), "open")
     drop(paired)
     for k in range(left.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0]):
         rows = placed(left.filter(F.col("blocks") > k).select("bucket", "node", "blocks")) if k else left
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int =
     drop(sets)
 
     ids = classes.join(label, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("component_id"))
-    out = thin.join(_dealt(ids, "node"), key, "left")
+    out = thin.join(_dealt(ids, "node", "set_a"), key, "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
@@ -229,6 +229,9 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int =
     )
 
 
-def _dealt(df: DataFrame, column: str) -> DataFrame:
-    """Put an exchange over an aggregate or a join, so that the next join can split a hot key."""
-    return df.repartition(column)
+def _dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Put an exchange over an aggregate or a join, so that the next join can split a hot key.
+
+    The columns spread evenly, and are not those of the join alone.
+    """
+    return df.repartition(*columns)
