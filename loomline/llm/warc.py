@@ -99,10 +99,15 @@ def _writer(root: str, most: int):
                 told.append((out["name"], out["n"], out["bytes"], out["hash"].hexdigest()))
             out = None
 
-        shard, number = None, 0
+        shard, number, told_of = None, 0, None
         for batch in batches:
             for row in range(batch.num_rows):
                 x = {name: batch.column(k)[row].as_py() for k, name in enumerate(batch.schema.names)}
+                page = (x["page_id"], x["url"], x["digest"])
+                if x["first_id"] is not None:  # what the next rows of this page refer to
+                    told_of, first_id = page, x["first_id"]
+                    continue
+                revisit = page == told_of
                 if x["shard"] != shard:
                     close()
                     shard, number = x["shard"], 0
@@ -113,7 +118,7 @@ def _writer(root: str, most: int):
                     name = f"shard-{shard:06d}-{number:04d}.warc.gz"
                     temp = f"{base}/_temporary-{uuid.uuid4().hex}"
                     out = {"name": name, "temp": temp, "stream": store.open_output_stream(temp, compression=None), "n": 0, "bytes": 0, "hash": hashlib.sha256()}
-                packed = record(x["page_id"], x["url"], (x["html"] or "").encode(), x["digest"], x["first_id"], x["revisit"])
+                packed = record(x["page_id"], x["url"], (x["html"] or "").encode(), x["digest"], first_id if revisit else None, revisit)
                 out["stream"].write(packed)
                 out["hash"].update(packed)
                 out["n"] += 1
@@ -158,16 +163,18 @@ def write(pages: DataFrame, root: str | None = None, shard_bytes: int = SHARD_BY
     root = root or new_folder(spark, "warc")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    # Only digests that repeat are joined back; each is dealt over salts, as a third of all pages may be copies of one.
+    # Which pages are revisits is found without their payloads, which are shuffled once, to
+    # their shards.  Digests that repeat are dealt over salts: a third of all pages may be copies of one.
     groups = own.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null")
     groups = groups.select("digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    told = own.join(groups, ["digest", "salt"], "left")
-    revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
+    keys = own.select("page_id", "url", "digest", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
+    refers = keys.join(groups, ["digest", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "url", "digest", "first_id").distinct()
     ends = _shards(own, shard_bytes)
     shard = F.size(F.filter(F.lit(ends), lambda e: e <= F.col("page_id"))) if ends else F.lit(0)
-    told = told.select("page_id", "url", "html", "digest", "first_id", revisit.alias("revisit"), F.coalesce(shard, F.lit(0)).alias("shard"))
-    dealt = told.repartition(len(ends) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "url", "digest")
+    none = F.lit(None)
+    rows = own.select("page_id", "url", "html", "digest", none.cast("long").alias("first_id")).unionAll(refers.select("page_id", "url", none.cast("string"), "digest", "first_id"))
+    dealt = rows.withColumn("shard", F.coalesce(shard, F.lit(0))).repartition(len(ends) + 1, "shard")
+    dealt = dealt.sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "url", "digest", F.asc_nulls_last("first_id"))
     store, base = filesystem(root)
     store.create_dir(base, recursive=True)
     files = dealt.mapInArrow(_writer(root, file_bytes), "file string, n_records long, bytes long, sha256 string")
