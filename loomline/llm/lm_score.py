@@ -1,130 +1,120 @@
 """Cross-entropy difference of matched n-gram language models.
 
 A target model (documents labelled good) and a background model (all documents)
-share one vocabulary, one set of stored bigrams and one discount, and the
-background's counts are scaled to the size of the target, so they differ in
-nothing but the text they have seen.  A document's score is the mean over its
-tokens of target loss less background loss; lower is nearer to the target.
+share all words and bigrams of the corpus and one discount, and the background's
+counts are scaled to the size of the target, so they differ in nothing but the
+text they have seen.  A document's score is the mean over its tokens of target
+loss less background loss; lower is nearer to the target.
+
+The models are tables that grow with the corpus.  Only their most frequent rows
+are broadcast; the tokens and bigrams beyond those are joined with the tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
 from .shared import drop, save
 
-#: Words with an id of their own; all others share one id more.
+#: Most frequent words whose statistics are broadcast; those of others are joined by a shuffle.
 VOCABULARY = 1 << 15
-#: Bigrams that the models store; the mass of others goes to the unigrams.
+#: Most frequent bigrams whose losses are broadcast; those of others are joined by a shuffle.
 BIGRAMS = 1 << 20
 DISCOUNT = 0.75
 #: Added to each unigram count, so that no word is impossible.
 FLOOR = 0.1
-_FLUSH = 4_000_000
+#: Tokens whose hashes a task holds before it counts them.
+_FLUSH = 1 << 18
 #: Target ids that are broadcast, 8 bytes each; more of them are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: The word before the first of a text.
+START = 0x5354415254
 
 
-def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words before, of the words, and bounds by text."""
     data, offsets = at.raw(column)
     data = at.lower_ascii(data)
     words = at.cut(data, offsets)
-    return at.span_hash(data, words.start, words.end), words.first
+    h = at.span_hash(data, words.start, words.end)
+    before = np.concatenate([h[:1], h[:-1]])
+    before[words.first[:-1][words.first[:-1] < words.first[1:]]] = START
+    return before, h, words.first
+
 
+def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return at.mix(before * at.WINDOW[0] + word * at.WINDOW[1])
 
-def _counted(keys: list[np.ndarray], flags: list[np.ndarray] | None, names: list[str]) -> pa.RecordBatch:
-    key, where, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    columns = [pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))]
-    if flags is not None:
-        columns.append(pa.array(np.bincount(where, np.concatenate(flags), len(key)).astype(np.int64)))
-    return pa.RecordBatch.from_arrays(columns, names=names)
+
+def _sums(where: np.ndarray, size: int, weight: np.ndarray | None = None) -> pa.Array:
+    return pa.array(np.bincount(where, weight, size).astype(np.int64))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words, and of words as the one before, in all texts and in the target."""
+
+    def counted() -> pa.RecordBatch:
+        before, word, good = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, where = np.unique(np.concatenate([word, before]), return_inverse=True)
+        a, b = where[: len(word)], where[len(word) :]
+        counts = [_sums(a, len(key)), _sums(a, len(key), good), _sums(b, len(key)), _sums(b, len(key), good)]
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *counts], names=["word", "n", "n_target", "c", "c_target"])
+
     held, size = [], 0
     for block in at.blocks(batches, "text"):
-        held.append(_hashes(block.column("text"))[0])
-        size += len(held[-1])
+        before, word, first = _bigrams(block.column("text"))
+        held.append((before, word, np.repeat(block.column("good").to_numpy(zero_copy_only=False), np.diff(first))))
+        size += len(word)
         if size > _FLUSH:
-            yield _counted(held, None, ["word", "n"])
+            yield counted()
             held, size = [], 0
     if size:
-        yield _counted(held, None, ["word", "n"])
-
-
-@dataclass
-class Vocabulary:
-    """Sorted word hashes; a word's id is its place, and ``len(words)`` any other word's."""
+        yield counted()
 
-    words: np.ndarray
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(h), np.int64)
-        found = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[found] == h, found, len(self.words))
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted() -> pa.RecordBatch:
+        before, word, good = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, one, where = np.unique(_key(before, word), return_index=True, return_inverse=True)
+        order = np.argsort(before[one])
+        counts = [_sums(where, len(one)), _sums(where, len(one), good)]
+        columns = [pa.array(before[one].view(np.int64)), pa.array(word[one].view(np.int64)), *counts]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "n_target"]).take(pa.array(order))
 
-    def bigrams(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, keys of (previous id, id), and bounds by text; a text starts after the id past the last."""
-        h, first = _hashes(column)
-        ids = self.ids(h)
-        before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-        starts = first[:-1][first[:-1] < first[1:]]
-        before[starts] = len(self.words) + 1
-        return ids, before * (len(self.words) + 1) + ids, first
+    held, size = [], 0
+    for block in at.blocks(batches, "text"):
+        before, word, first = _bigrams(block.column("text"))
+        held.append((before, word, np.repeat(block.column("good").to_numpy(zero_copy_only=False), np.diff(first))))
+        size += len(word)
+        if size > _FLUSH:
+            yield counted()
+            held, size = [], 0
+    if size:
+        yield counted()
 
 
 @dataclass
-class Model:
-    """Per id the unigram log probability, per previous id the log weight of backing
-    off, and per stored bigram its log probability."""
-
-    uni: np.ndarray
-    back: np.ndarray
-    stored: np.ndarray
-
-    @classmethod
-    def of(cls, n_ids: int, keys: np.ndarray, stored: np.ndarray, uni: np.ndarray, context: np.ndarray) -> Model:
-        """``stored``, ``uni`` and ``context`` are counts of bigrams, words and previous words."""
-        p = (uni + FLOOR) / (uni + FLOOR).sum()
-        given = keys // n_ids
-        kept = np.maximum(stored - DISCOUNT, 0)
-        mass = np.bincount(given, kept, len(context))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(context > 0, 1 - mass / context, 1.0)
-            own = np.where(context[given] > 0, kept / context[given], 0)
-        back = np.clip(back, 1e-9, 1)
-        return cls(np.log(p), np.log(back), np.log(own + back[given] * p[keys % n_ids]))
-
-    def loss(self, ids: np.ndarray, keys: np.ndarray, at_: np.ndarray, known: np.ndarray) -> np.ndarray:
-        return -np.where(known, self.stored[at_], self.back[keys // len(self.uni)] + self.uni[ids])
-
+class Frequent:
+    """Losses of the most frequent bigrams, by sorted key."""
 
-@dataclass
-class Matched:
-    vocabulary: Vocabulary
     keys: np.ndarray
-    target: Model
-    background: Model
-
-    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens and mean losses under the target and the background, by text."""
-        ids, keys, first = self.vocabulary.bigrams(column)
-        at_ = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = self.keys[at_] == keys
-        n = np.diff(first)
-        out = []
-        for model in (self.target, self.background):
-            total = np.concatenate([[0], np.cumsum(model.loss(ids, keys, at_, known))])
-            out.append((total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1))
-        return n, *out
+    target: np.ndarray
+    background: np.ndarray
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is here, and where."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[place] == keys, place
 
 
 def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -147,54 +137,83 @@ def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "text string, good boolean")
 
 
-def learn(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Matched:
+def _sum(*names: str) -> list:
+    return [F.sum(n).alias(n) for n in names]
+
+
+def _least(counts: DataFrame, most: int) -> int:
+    """The least ``n`` of the most frequent rows: all of those with one count, or none of them."""
+    upto = 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        upto += r["count"]
+        if upto > most:
+            return r["n"] + 1
+    return 0
+
+
+def _split(rows: DataFrame, stats: DataFrame, least: int, on: str) -> list[tuple[DataFrame, DataFrame]]:
+    """The rows of frequent words with a broadcast of their ``stats``, and those of others with theirs."""
+    frequent, rare = (stats.filter(x).drop("n") for x in (F.col("n") >= least, F.col("n") < least))
+    known = F.broadcast(frequent.select(on))
+    return [(rows.join(known, on, "left_semi"), F.broadcast(frequent)), (rows.join(known, on, "left_anti"), rare)]
+
+
+def learn(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> tuple[Frequent, DataFrame]:
     """Models of ``docs(doc_id, text)`` with ``target(doc_id)`` marking the target.
 
-    Counts cover every text; they are summed in tasks and then by key.  The driver
-    gets the ``vocabulary`` most frequent words, sums by word, and the ``bigrams``
-    most frequent bigrams.
+    Counts cover every text, word and bigram; they are summed in tasks and then by
+    key.  Returns losses of at most ``bigrams`` most frequent bigrams, and a table
+    ``key, target, background`` of all others.  Neither ``vocabulary`` nor
+    ``bigrams`` changes a loss.
     """
-    spark = docs.sparkSession
-    words = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(vocabulary).select("word").toPandas()["word"].to_numpy(np.int64)
-    own = Vocabulary(np.sort(top.view(np.uint64)))
-    broadcast = spark.sparkContext.broadcast(own)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, flags, size = [], [], 0
-        for block in at.blocks(batches, "text"):
-            _, keys, first = broadcast.value.bigrams(block.column("text"))
-            held.append(keys)
-            flags.append(np.repeat(block.column("good").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first)))
-            size += len(keys)
-            if size > _FLUSH:
-                yield _counted(held, flags, ["key", "n", "n_target"])
-                held, flags, size = [], [], 0
-        if size:
-            yield _counted(held, flags, ["key", "n", "n_target"])
-
-    n_ids = len(own.words) + 1
     marked = _marked(docs, target)
-    pairs = save(marked.mapInArrow(count, "key long, n long, n_target long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "bigrams")
-    sums = {}
-    for name, expr, size in (("uni", f"key % {n_ids}", n_ids), ("context", f"key div {n_ids}", n_ids + 1)):
-        got = pairs.groupBy(F.expr(expr).alias("id")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toPandas()
-        sums[name] = np.zeros((2, size))
-        sums[name][:, got["id"].to_numpy(np.int64)] = got["n"], got["n_target"]
-    # As many of the most frequent as fit: all of those with one count, or none of them.
-    least, upto = 1, 0
-    for r in pairs.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        upto += r["count"]
-        if upto > bigrams:
-            least = r["n"] + 1
-            break
-    kept = pairs.filter(F.col("n") >= least).toArrow().to_pandas().sort_values("key")
+    names = ("n", "n_target", "c", "c_target")
+    words = save(marked.mapInArrow(_word_counts, "word long, n long, n_target long, c long, c_target long").groupBy("word").agg(*_sum(*names)), "words")
+    pairs = save(marked.mapInArrow(_pair_counts, "a long, b long, n long, n_target long").groupBy("a", "b").agg(*_sum("n", "n_target")), "bigrams")
+    all_ = words.agg(*_sum("n", "n_target"), F.count_if(F.col("n") > 0).alias("words")).first()
+    n, good, n_ids = all_["n"] or 0, all_["n_target"] or 0, all_["words"] + 1
+    scale = good / n if good else 1.0
+    models = {"target": ("n_target", "c_target", 1.0, good), "background": ("n", "c", scale, n * scale)}
+
+    def kept(count: str, s: float) -> Column:
+        return F.greatest(F.col(count) * F.lit(s) - DISCOUNT, F.lit(0.0))
+
+    mass = pairs.groupBy(F.col("a").alias("word")).agg(*(F.sum(kept(count, s)).alias(f"mass_{m}") for m, (count, _, s, _) in models.items()))
+    backs = []
+    for m, (_, context, s, _) in models.items():
+        c = F.col(context) * F.lit(s)
+        back = F.when(c > 0, F.least(F.greatest(1 - F.coalesce(f"mass_{m}", F.lit(0.0)) / c, F.lit(1e-9)), F.lit(1.0))).otherwise(1.0)
+        backs.append(back.cast("float").alias(f"back_{m}"))
+    stats = save(words.join(mass, "word", "left").select("word", *names, *backs), "words")
+    drop(words)
+
+    # Counts and not probabilities go through the joins: they are small, so they compress.
+    # START is no word but often stands before one.
+    ranked = stats.withColumn("often", F.greatest("n", "c"))
+    frequent_words, frequent = _least(ranked.select(F.col("often").alias("n")), vocabulary), _least(pairs, bigrams)
+    first = ranked.select(F.col("word").alias("a"), F.col("often").alias("n"), *(F.col(x).alias(f"a_{x}") for x in ("c", "c_target")), *(f"back_{m}" for m in models))
+    second = ranked.select(F.col("word").alias("b"), F.col("often").alias("n"), *(F.col(x).alias(f"b_{x}") for x in ("n", "n_target")))
+    own = pairs.withColumnRenamed("n", "pair_n").withColumnRenamed("n_target", "pair_n_target")
+    rows = [x.join(s, "a").join(t, "b") for y, t in _split(own, second, frequent_words, "b") for x, s in _split(y, first, frequent_words, "a")]
+    rows = reduce(DataFrame.unionByName, rows)
+    often = F.col("pair_n") >= frequent
+    losses = []
+    for m, (count, context, s, total) in models.items():
+        c = F.col(f"a_{context}") * F.lit(s)
+        p = (F.col(f"b_{count}") * F.lit(s) + FLOOR) / F.lit(total + FLOOR * n_ids)
+        losses.append((-F.log(F.when(c > 0, kept(f"pair_{count}", s) / c).otherwise(0.0) + F.col(f"back_{m}") * p)).cast("float").alias(m))
+    table = save(rows.select(F.when(often, F.col("a")).alias("a"), F.when(often, F.col("b")).alias("b"), F.when(~often, F.xxhash64("a", "b")).alias("key"), *losses), "losses")
     drop(pairs)
-    keys = kept["key"].to_numpy(np.int64)
-    total, good = sums["uni"][0].sum(), sums["uni"][1].sum()
-    scale = good / total if good else 1.0
-    models = [Model.of(n_ids, keys, kept[c].to_numpy(float) * s, sums["uni"][k] * s, sums["context"][k] * s) for k, c, s in ((1, "n_target", 1.0), (0, "n", scale))]
-    return Matched(own, keys if len(keys) else np.full(1, -1), *(m if len(keys) else Model(m.uni, m.back, np.zeros(1)) for m in models))
+    drop(stats)
+    top = table.filter("a is not null").select("a", "b", "target", "background").toArrow()
+    a, b = (top.column(x).to_numpy().view(np.uint64) for x in ("a", "b"))
+    keys = _key(a, b)
+    order = np.argsort(keys)
+    return Frequent(keys[order], *(top.column(m).to_numpy()[order] for m in ("target", "background"))), table.filter("key is not null").select("key", "target", "background")
+
+
+_NAMES = ["row", "doc_id", "n_tokens", "a", "b", "target", "background"]
+_PARTS = "row long, doc_id long, n_tokens long, a long, b long, target double, background double"
 
 
 def score(docs: DataFrame, labels: DataFrame, **models) -> DataFrame:
@@ -210,13 +229,36 @@ def score(docs: DataFrame, labels: DataFrame, **models) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     target = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("good")).filter("good").select("doc_id")
-    broadcast = own.sparkSession.sparkContext.broadcast(learn(own, target, **models))
+    frequent, others = learn(own, target, **models)
+    broadcast = own.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text with the sums of its frequent bigrams, and one for each other bigram."""
         for block in at.blocks(batches, "text"):
-            n, a, b = broadcast.value.score(block.column("text"))
-            none = n == 0
-            losses = [pa.array(x, pa.float64(), mask=none) for x in (a, b, a - b)]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n.astype(np.int64)), *losses], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    return own.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+            before, word, first = _bigrams(block.column("text"))
+            known, place = broadcast.value.find(_key(before, word))
+            sums = []
+            for losses in (broadcast.value.target, broadcast.value.background):
+                each = np.zeros(len(word)) if not len(losses) else np.where(known, losses[place], 0).astype(float)
+                total = np.concatenate([[0], np.cumsum(each)])
+                sums.append(total[first[1:]] - total[first[:-1]])
+            row = block.column("row").to_numpy()
+            n = len(row)
+            tail = np.repeat(row, np.diff(first))[~known]
+            none = pa.nulls(len(tail), pa.int64())
+            yield pa.RecordBatch.from_arrays([block.column("row"), block.column("doc_id"), pa.array(np.diff(first)), block.column("row"), pa.nulls(n, pa.int64()), *map(pa.array, sums)], names=_NAMES)
+            if len(tail):
+                zero = pa.nulls(len(tail), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(tail), none, none, pa.array(before[~known].view(np.int64)), pa.array(word[~known].view(np.int64)), zero, zero], names=_NAMES)
+
+    parts = own.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, _PARTS)
+    # A text's own row has a key too, which spreads such rows over the join; what it meets is not used.
+    parts = parts.select("row", "doc_id", "n_tokens", F.xxhash64("a", "b").alias("key"), "target", "background")
+    others = others.withColumnsRenamed({"target": "t", "background": "b"})
+    joined = parts.join(others, "key", "left")
+    summed = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
+        *(F.sum(F.when(F.col("n_tokens").isNotNull(), F.col(m)).otherwise(F.col(x))).alias(m) for m, x in (("target", "t"), ("background", "b"))),
+    )
+    losses = [F.when(F.col("n_tokens") > 0, F.col(m) / F.col("n_tokens")).alias(f"{m}_loss") for m in ("target", "background")]
+    return summed.select("doc_id", "n_tokens", *losses).withColumn("difference", F.col("target_loss") - F.col("background_loss"))

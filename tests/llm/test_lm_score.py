@@ -76,3 +76,17 @@ def test_awkward(spark, awkward, empty, labels):
     none = lm_score.score(awkward, labels.limit(0)).collect()
     assert len(none) == awkward.count()
     assert lm_score.score(spark.createDataFrame([(1, None, None, None, 0)], SCHEMA), labels).first()["n_tokens"] == 0
+
+
+def test_nothing_is_cut(spark, data):
+    """What is broadcast changes no score: every word and bigram has its own loss."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id < 25 and lang = 'en'")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    good = [d for d, _ in rows[::2]]
+    labels = spark.createDataFrame([(d, 1, 0) for d in good], "doc_id long, quality int, toxic int")
+    target, background = plain(rows, good, 10**6)
+    for sizes in ({"vocabulary": 20, "bigrams": 30}, {"vocabulary": 0, "bigrams": 0}):
+        got = lm_score.score(docs, labels, **sizes).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert math.isclose(r["target_loss"], target[r["doc_id"]], rel_tol=1e-6) and math.isclose(r["background_loss"], background[r["doc_id"]], rel_tol=1e-6)
