@@ -29,6 +29,35 @@ def keyword_scores(pairs: DataFrame, query: str, text: str, name: str) -> DataFr
     return rows.withColumn("score", F.when(empty, 0.0).otherwise(X.keyword_score(F.col("_q"), F.col("_t"), F.col("_n")))).drop("_q", "_t", "_n")
 
 
+def _pieces(word: Column, most: Column) -> Column:
+    """Distinct substrings of at most ``most`` characters."""
+    n = F.length(word)
+    of = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(word, i, k))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, most)), of)))
+
+
+def keyword_search(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """``item_id, doc_id, score`` of all pairs of ``queries(item_id, q)`` and ``docs(doc_id, d, name)`` that score above 0.
+
+    As :func:`keyword_scores`, but by equality: what one word of a query and one of
+    a document add is found once for distinct words, words that hold others by
+    their substrings.
+    """
+    q = queries.select("item_id", F.explode(X.keywords(F.col("q"))).alias("qw"))
+    t = docs.select("doc_id", "name", F.explode(X.keywords(F.col("d"))).alias("tw"))
+    query_words, words = q.select("qw").distinct(), t.select("tw").distinct()
+    longest = query_words.agg(F.max(F.length("qw"))).first()[0] or 0
+    inside = words.select("tw", F.explode(_pieces(F.col("tw"), F.lit(longest))).alias("qw")).join(query_words, "qw")
+    around = query_words.select("qw", F.explode(_pieces(F.col("qw"), F.length("qw"))).alias("tw")).filter("qw <> tw").join(words, "tw")
+    pairs = inside.select("qw", "tw", F.when(F.col("qw") == F.col("tw"), 2.0).otherwise(0.5).alias("w")).unionByName(around.select("qw", "tw", F.lit(0.5).alias("w")))
+    weights = q.join(pairs, "qw").groupBy("item_id", "tw").agg(F.sum("w").alias("w"))
+    shared = t.join(weights, "tw").select("item_id", "doc_id", "w")
+    names = docs.select("name").distinct().select("name", F.explode(X.keywords(F.col("name"))).alias("qw"))
+    named = q.join(names, "qw").groupBy("item_id", "name").agg((3.0 * F.count(F.lit(1))).alias("w"))
+    worded = docs.filter(F.size(X.keywords(F.col("d"))) > 0).select("doc_id", "name")
+    return shared.unionByName(worded.join(named, "name").select("item_id", "doc_id", "w")).groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
+
+
 def top_k(scored: DataFrame, by: list[str], k: int, score: str = "score", pos: str = "pos", positive: bool = False) -> DataFrame:
     """``rank`` from 0 and ``kept``: the ``k`` best of each query, ties by position."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), pos)

@@ -356,10 +356,9 @@ def mcp_selection(t: Tables) -> DataFrame:
 
 @query("keyword_scores")
 def keyword_scores(t: Tables) -> DataFrame:
-    """Keyword scores of items against the first words of documents that share a language word."""
-    q = t("benchmark").select("item_id", F.substring("text", 1, 40).alias("q"), (F.col("item_id") % 10).alias("g"))
-    d = t("documents").select("doc_id", F.substring("text", 1, 80).alias("d"), F.col("source").alias("name"), (F.col("doc_id") % 10).alias("g")).filter("doc_id < 200")
-    rows = tools.keyword_scores(q.join(d, "g"), "q", "d", "name")
+    """The five documents with the highest keyword scores of each item, whole texts of both."""
+    docs = t("documents").select("doc_id", F.col("text").alias("d"), F.col("source").alias("name"))
+    rows = tools.keyword_search(t("benchmark").select("item_id", F.col("text").alias("q")), docs)
     return tools.top_k(rows, ["item_id"], 5, pos="doc_id", positive=True).filter("kept").select("item_id", "doc_id", "score", "rank")
 
 

@@ -450,3 +450,26 @@ def test_small_rules(spark):
     assert one(spark, X.intent_text(F.col("a"), F.col("b")), a=" why ", b="do it") == "why\n(overall task: do it)"
     assert one(spark, X.label_category(F.col("t")), t="Docstring kept") == "docstring" and one(spark, X.sanitized_source(F.col("t")), t=" a]b\nc ") == "a_b c"
     assert one(spark, X.looks_truncated(F.col("t")), t="[SEG id=a] x") is True
+
+
+def test_keyword_search(spark, data):
+    """Against the scores of all pairs: words shared, words inside others, names, texts without words."""
+    from loomline.operators import tools
+
+    q = spark.createDataFrame([(1, "read the foo_bar file"), (2, "data pipe"), (3, "123"), (4, "wiki")], "item_id long, q string")
+    d = spark.createDataFrame([(1, "readFile of Pipeline", "wiki"), (250, "file foo a", "web data"), (300, "12", "wiki"), (400, None, "wiki"), (500, "unlike", "wiki"), (600, "x" * 90 + " read file foo_bar", "web")], "doc_id long, d string, name string")
+    every = tools.keyword_scores(q.crossJoin(d), "q", "d", "name").filter("score > 0")
+    key = lambda df: sorted((r["item_id"], r["doc_id"], r["score"]) for r in df.collect())
+    assert key(tools.keyword_search(q, d)) == key(every) != []
+    from loomline.plans import q_text, scratch  # noqa: F401
+    from loomline.plans.registry import QUERIES
+
+    # No document is left out: those past the first 200, past 80 characters, of any residue.
+    docs = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id % 20 = 7").select((F.col("doc_id") + 1000).alias("doc_id"), "text", "lang", "source", "n_chars")
+    items = spark.read.parquet(f"{data}/benchmark.parquet").filter("item_id % 20 = 0")
+    path = scratch.folder(spark, "keywords")
+    docs.write.parquet(f"{path}/documents.parquet")
+    items.write.parquet(f"{path}/benchmark.parquet")
+    pairs = items.select("item_id", F.col("text").alias("q")).crossJoin(docs.select("doc_id", F.col("text").alias("d"), F.col("source").alias("name")))
+    best = tools.top_k(tools.keyword_scores(pairs, "q", "d", "name"), ["item_id"], 5, pos="doc_id", positive=True).filter("kept")
+    assert key(QUERIES["keyword_scores"](spark, path)) == key(best) != []
