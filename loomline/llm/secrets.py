@@ -29,6 +29,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines; a line break may be indented.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*")
+#: How gzip and zlib data begin.
+_COMPRESSED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _URL_SAFE = str.maketrans("-_", "+/")
 #: A layer that inflates beyond this is left as it is: its run is no secret, but a bomb.
 INFLATED = 64 << 20
@@ -123,16 +127,52 @@ def _unbased(run: str) -> str | None:
     return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
+def _shifted(layer: Layer, start: int, end: int, clean: bool) -> Iterator[Layer]:
+    """Base64 that begins anywhere in ``start:end``, lines joined, bytes that are no text replaced.
+
+    A decoded character comes from the characters that hold its bytes, an inflated
+    one from all from where its data begin.  ``clean``: the run as a whole is told already.
+    """
+    places = np.array([i for i in range(start, end) if layer.text[i] not in " \t\r\n"])
+    a, b = layer.origins(start, end)
+    lo, hi = a[places - start], b[places - start]
+    body = "".join(layer.text[i] for i in places).translate(_URL_SAFE)
+    for first in range(1 if clean else 0, 4):
+        own = body[first:]
+        own = own[:-1] if len(own) % 4 == 1 else own
+        if len(own) < 8:
+            continue
+        data = base64.b64decode(own + "=" * (-len(own) % 4))
+        text = data.decode(errors="surrogateescape")
+        code = np.array([ord(c) for c in text])
+        size = np.where((code < 0x80) | ((code >= 0xDC80) & (code <= 0xDCFF)), 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
+        to = np.cumsum(size)
+        left, right = first + 8 * (to - size) // 6, first + (8 * to - 1) // 6
+        yield Layer(re.sub("[\udc80-\udcff]", "\ufffd", text), lo[left], hi[right])
+        for m in _COMPRESSED.finditer(data):
+            if (out := _inflated(memoryview(data)[m.start() :])) is None:
+                continue
+            while _COMPRESSED.match(out) and (more := _inflated(out)) is not None and more != out:
+                out = more
+            text = out.decode(errors="replace")
+            x = int(lo[first + 8 * m.start() // 6])
+            yield Layer(text, np.full(len(text), x), np.full(len(text), int(hi[-1])))
+
+
 def decoded(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     if "%" in text and (x := layer.rewritten(_PERCENT, lambda r: bytes.fromhex(r.replace("%", "")).decode(errors="replace"))):
         yield x
     if "\\" in text and (x := layer.rewritten(_ESCAPED, _unescaped)):
         yield x
+    clean = set()
     for m in _BASE64.finditer(text):
         if to := _unbased(m[0]):
+            clean.add((m.start(), m.end() - m[0].count("=")))
             a, b = layer.span(m.start(), m.end())
             yield Layer(to, np.full(len(to), a), np.full(len(to), b))
+    for m in _WRAPPED.finditer(text):
+        yield from _shifted(layer, m.start(), m.end(), m.span() in clean)
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:

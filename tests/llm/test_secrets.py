@@ -75,3 +75,43 @@ def test_query(spark, awkward, empty, data):
     assert secrets.scan_secrets(empty).collect() == []
     masked = secrets.mask_secrets(awkward)
     assert masked.columns == awkward.columns and masked.count() == awkward.count()
+
+
+def _b64(s):
+    return base64.b64encode(s if isinstance(s, bytes) else s.encode()).decode()
+
+
+def _wrap(s):
+    return "\n".join(s[i : i + 76] for i in range(0, len(s), 76))
+
+
+LONG = "the first line of a file that is longer than one line of base64 is " * 2 + KEY + " and more text follows after it" * 3
+HIDDEN = {
+    "path": "https://h.example/v1/blob/" + _b64("my " + KEY),
+    "name": "key_" + _b64("my " + KEY),
+    "one more": "/" + _b64("my " + KEY),
+    "gzip in a path": "https://h.example/v1/blob/" + _b64(gzip.compress(KEY.encode())),
+    "no-break space": _b64("my\u00a0" + KEY),
+    "form feed, NUL, zero width": _b64("\f\0\u200b " + KEY),
+    "no UTF-8": _b64(b"\xff\xfe\x80 " + KEY.encode() + b" \xc3"),
+    "wrapped": _wrap(_b64(LONG)),
+    "wrapped gzip": _wrap(_b64(gzip.compress(("".join(hashlib.sha256(bytes([i])).hexdigest()[:9] + " " for i in range(30)) + KEY).encode()))),
+    "wrapped with CRLF and indent": _wrap(_b64(LONG)).replace("\n", "\r\n  "),
+}
+
+
+@pytest.mark.parametrize("name", HIDDEN)
+def test_hidden_base64(name):
+    text = f"é before {HIDDEN[name]} after"
+    every = secrets.find(text)[1]
+    assert any(k == 0 for _, k, _ in every)
+    masked = secrets.redact(text, every)
+    assert masked.startswith("é before ") and masked.endswith(" after") and secrets.MASK in masked
+    assert not any(k == 0 for _, k, _ in secrets.find(masked)[1])
+
+
+def test_every_place_of_a_line_break():
+    """A secret across a line break of wrapped base64, at any alignment, is masked as a whole."""
+    for n in range(40, 60):
+        text = _wrap(_b64("a" * n + " " + KEY))
+        assert any(k == 0 for _, k, _ in secrets.find(text)[1])
