@@ -1,127 +1,122 @@
-"""Cross-entropy difference of matched n-gram language models.
+"""Cross-entropy difference of matched bigram models.
 
 A target model (documents labelled good) and a background model (all documents)
-share all words and bigrams of the corpus and one discount, and the background's
-counts are scaled to the size of the target, so they differ in nothing but the
-text they have seen.  A document's score is the mean over its tokens of target
-loss less background loss; lower is nearer to the target.
-
-The models are tables that grow with the corpus.  Only their most frequent rows
-are broadcast; the tokens and bigrams beyond those are joined with the tables.
+share the words of the corpus, one smoothing and, by scaling the background's
+counts, one size, so they differ in nothing but the text they have seen.  A
+document's score is the mean over its tokens of target loss less background loss;
+lower is nearer to the target.
+
+Both models smooth with Dirichlet priors.  With n(w) and N the counts of the corpus,
+a model of counts m and M in all gives
+
+    p(w) = (m(w) + KAPPA n(w)/N) / (M + KAPPA)
+    p(w | a) = (m(a w) + MU p(w)) / (m(a) + MU)
+
+so a loss needs the counts of a word and of a bigram and nothing else.  The counts
+cover every word and bigram of every text, and none is broadcast or collected:
+a task asks for those of the distinct words and bigrams in each million of its
+tokens, the answers are summed where all requests for a word or bigram meet, and
+go back to where the texts are.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .shared import drop, save
-
-#: Most frequent words whose statistics are broadcast; those of others are joined by a shuffle.
-VOCABULARY = 1 << 15
-#: Most frequent bigrams whose losses are broadcast; those of others are joined by a shuffle.
-BIGRAMS = 1 << 20
-DISCOUNT = 0.75
-#: Added to each unigram count, so that no word is impossible.
-FLOOR = 0.1
-#: Tokens whose hashes a task holds before it counts them.
-_FLUSH = 1 << 18
+
+#: Strength of the prior of a bigram and of a word, in tokens.
+MU, KAPPA = 8.0, 1000.0
+#: Tokens that a task holds at once and asks for together.  A longer text is held whole.
+CHUNK = 1 << 20
+#: Tokens of the corpus for each bucket of requests; bounds what is summed at once.
+BUCKET = 8 << 20
 #: Target ids that are broadcast, 8 bytes each; more of them are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 #: The word before the first of a text.
 START = 0x5354415254
 
 
-def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words before, of the words, and bounds by text."""
-    data, offsets = at.raw(column)
-    data = at.lower_ascii(data)
-    words = at.cut(data, offsets)
-    h = at.span_hash(data, words.start, words.end)
-    before = np.concatenate([h[:1], h[:-1]])
-    before[words.first[:-1][words.first[:-1] < words.first[1:]]] = START
-    return before, h, words.first
-
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold each of them, told by the first byte."""
+    most = int(values.max(initial=0))
+    size = next(s for s in (1, 2, 4, 8) if most < 1 << (8 * s - 1) or s == 8)
+    return bytes([size]) + values.astype(f"<i{size}").tobytes()
 
-def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return at.mix(before * at.WINDOW[0] + word * at.WINDOW[1])
 
+def _unpacked(data: memoryview) -> np.ndarray:
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
 
-def _sums(where: np.ndarray, size: int, weight: np.ndarray | None = None) -> pa.Array:
-    return pa.array(np.bincount(where, weight, size).astype(np.int64))
 
+def _joined(*parts: bytes) -> bytes:
+    """Parts with their sizes before them."""
+    return b"".join([struct.pack(f"<{len(parts) + 1}q", len(parts), *map(len, parts)), *parts])
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, and of words as the one before, in all texts and in the target."""
 
-    def counted() -> pa.RecordBatch:
-        before, word, good = (np.concatenate(x) for x in zip(*held, strict=True))
-        key, where = np.unique(np.concatenate([word, before]), return_inverse=True)
-        a, b = where[: len(word)], where[len(word) :]
-        counts = [_sums(a, len(key)), _sums(a, len(key), good), _sums(b, len(key)), _sums(b, len(key), good)]
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *counts], names=["word", "n", "n_target", "c", "c_target"])
-
-    held, size = [], 0
-    for block in at.blocks(batches, "text"):
-        before, word, first = _bigrams(block.column("text"))
-        held.append((before, word, np.repeat(block.column("good").to_numpy(zero_copy_only=False), np.diff(first))))
-        size += len(word)
-        if size > _FLUSH:
-            yield counted()
-            held, size = [], 0
-    if size:
-        yield counted()
-
-
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def counted() -> pa.RecordBatch:
-        before, word, good = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, one, where = np.unique(_key(before, word), return_index=True, return_inverse=True)
-        order = np.argsort(before[one])
-        counts = [_sums(where, len(one)), _sums(where, len(one), good)]
-        columns = [pa.array(before[one].view(np.int64)), pa.array(word[one].view(np.int64)), *counts]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "n_target"]).take(pa.array(order))
-
-    held, size = [], 0
-    for block in at.blocks(batches, "text"):
-        before, word, first = _bigrams(block.column("text"))
-        held.append((before, word, np.repeat(block.column("good").to_numpy(zero_copy_only=False), np.diff(first))))
-        size += len(word)
-        if size > _FLUSH:
-            yield counted()
-            held, size = [], 0
-    if size:
-        yield counted()
+def _parts(data: bytes) -> list[memoryview]:
+    view = memoryview(data)
+    n = struct.unpack_from("<q", view)[0]
+    ends = np.cumsum([8 * (n + 1), *struct.unpack_from(f"<{n}q", view, 8)])
+    return [view[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-@dataclass
-class Frequent:
-    """Losses of the most frequent bigrams, by sorted key."""
+class Chunk:
+    """Texts as numbers of their distinct words and bigrams.
 
-    keys: np.ndarray
-    target: np.ndarray
-    background: np.ndarray
+    Word 0 stands before the first word of a text.  ``bounds`` are the tokens of
+    each text; ``token`` is the bigram of each token, and bigram ``k`` is of the
+    words ``before[k]`` and ``word[k]``.
+    """
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is here, and where."""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[place] == keys, place
+    def __init__(self, bounds: np.ndarray, words: np.ndarray, number: np.ndarray) -> None:
+        self.bounds, self.words = bounds, words
+        before = np.concatenate([[0], number[:-1]])[: len(number)]
+        before[bounds[:-1][bounds[:-1] < bounds[1:]]] = 0
+        pairs, self.token = np.unique(before * len(words) + number, return_inverse=True)
+        self.before, self.word = np.divmod(pairs, len(words))
+        self.pairs = at.mix(words[self.before] * at.WINDOW[0] + words[self.word] * at.WINDOW[1])
+
+    @classmethod
+    def of(cls, bounds: np.ndarray, hashes: np.ndarray) -> tuple[Chunk, np.ndarray]:
+        """A chunk and the numbers of its tokens' words, most frequent words first."""
+        found, where, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(len(found), np.int64)
+        place[order] = np.arange(1, len(found) + 1)
+        number = place[where]
+        return cls(bounds, np.concatenate([np.array([START], np.uint64), found[order]]), number), number
+
+    def counts(self, good: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """How often each word stands, and stands before another, and each bigram, in all and in good texts."""
+        weight = np.repeat(good, np.diff(self.bounds)).astype(float)
+        pairs = [np.bincount(self.token, minlength=len(self.pairs)), np.bincount(self.token, weight, len(self.pairs)).astype(np.int64)]
+        sums = [np.bincount(side, n, len(self.words)).astype(np.int64) for side in (self.word, self.before) for n in pairs]
+        return sums, pairs
+
+    def dealt(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The words and bigrams of each bucket that has any."""
+        places = []
+        for keys in (self.words, self.pairs):
+            bucket = (keys % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            places.append((order, np.searchsorted(bucket[order], np.arange(buckets + 1))))
+        (words, a), (pairs, b) = places
+        for k in np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1])):
+            yield int(k), words[a[k] : a[k + 1]], pairs[b[k] : b[k + 1]]
 
 
 def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """``text, good`` of every document: whether its doc_id is in ``target``."""
+    """``doc_id, text, good`` of every document: whether its doc_id is in ``target``."""
     ids = target.select("doc_id").distinct()
     if ids.count() > BROADCAST_IDS:
-        return docs.join(ids.withColumn("good", F.lit(True)), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+        return docs.join(ids.withColumn("good", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
     broadcast = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,133 +127,165 @@ def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
             if len(known):
                 found = known[np.minimum(np.searchsorted(known, doc), len(known) - 1)] == doc
             found &= batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(found)], names=["text", "good"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["doc_id", "text", "good"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "text string, good boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, good boolean")
 
 
-def _sum(*names: str) -> list:
-    return [F.sum(n).alias(n) for n in names]
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = good = 0
+    for block in at.blocks(batches, "text"):
+        own = np.diff(at.cut(*at.raw(block.column("text"))).first)
+        n += int(own.sum())
+        good += int(own[block.column("good").to_numpy(zero_copy_only=False)].sum())
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([good])], names=["n", "n_target"])
 
 
-def _least(counts: DataFrame, most: int) -> int:
-    """The least ``n`` of the most frequent rows: all of those with one count, or none of them."""
-    upto = 0
-    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        upto += r["count"]
-        if upto > most:
-            return r["n"] + 1
-    return 0
+_ROWS = "bucket long, chunk long, body binary"
 
 
-def _split(rows: DataFrame, stats: DataFrame, least: int, on: str) -> list[tuple[DataFrame, DataFrame]]:
-    """The rows of frequent words with a broadcast of their ``stats``, and those of others with theirs."""
-    frequent, rare = (stats.filter(x).drop("n") for x in (F.col("n") >= least, F.col("n") < least))
-    known = F.broadcast(frequent.select(on))
-    return [(rows.join(known, on, "left_semi"), F.broadcast(frequent)), (rows.join(known, on, "left_anti"), rare)]
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "chunk", "body"])
 
 
-def learn(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> tuple[Frequent, DataFrame]:
-    """Models of ``docs(doc_id, text)`` with ``target(doc_id)`` marking the target.
+def _ask(buckets: int, most: int):
+    """A request for each chunk and bucket, and for each chunk its texts, which have no bucket of their own.
 
-    Counts cover every text, word and bigram; they are summed in tasks and then by
-    key.  Returns losses of at most ``bigrams`` most frequent bigrams, and a table
-    ``key, target, background`` of all others.  Neither ``vocabulary`` nor
-    ``bigrams`` changes a loss.
+    A request: words, their counts by field, bigrams, their counts by field.
     """
-    marked = _marked(docs, target)
-    names = ("n", "n_target", "c", "c_target")
-    words = save(marked.mapInArrow(_word_counts, "word long, n long, n_target long, c long, c_target long").groupBy("word").agg(*_sum(*names)), "words")
-    pairs = save(marked.mapInArrow(_pair_counts, "a long, b long, n long, n_target long").groupBy("a", "b").agg(*_sum("n", "n_target")), "bigrams")
-    all_ = words.agg(*_sum("n", "n_target"), F.count_if(F.col("n") > 0).alias("words")).first()
-    n, good, n_ids = all_["n"] or 0, all_["n_target"] or 0, all_["words"] + 1
-    scale = good / n if good else 1.0
-    models = {"target": ("n_target", "c_target", 1.0, good), "background": ("n", "c", scale, n * scale)}
-
-    def kept(count: str, s: float) -> Column:
-        return F.greatest(F.col(count) * F.lit(s) - DISCOUNT, F.lit(0.0))
-
-    mass = pairs.groupBy(F.col("a").alias("word")).agg(*(F.sum(kept(count, s)).alias(f"mass_{m}") for m, (count, _, s, _) in models.items()))
-    backs = []
-    for m, (_, context, s, _) in models.items():
-        c = F.col(context) * F.lit(s)
-        back = F.when(c > 0, F.least(F.greatest(1 - F.coalesce(f"mass_{m}", F.lit(0.0)) / c, F.lit(1e-9)), F.lit(1.0))).otherwise(1.0)
-        backs.append(back.cast("float").alias(f"back_{m}"))
-    stats = save(words.join(mass, "word", "left").select("word", *names, *backs), "words")
-    drop(words)
-
-    # Counts and not probabilities go through the joins: they are small, so they compress.
-    # START is no word but often stands before one.
-    ranked = stats.withColumn("often", F.greatest("n", "c"))
-    frequent_words, frequent = _least(ranked.select(F.col("often").alias("n")), vocabulary), _least(pairs, bigrams)
-    first = ranked.select(F.col("word").alias("a"), F.col("often").alias("n"), *(F.col(x).alias(f"a_{x}") for x in ("c", "c_target")), *(f"back_{m}" for m in models))
-    second = ranked.select(F.col("word").alias("b"), F.col("often").alias("n"), *(F.col(x).alias(f"b_{x}") for x in ("n", "n_target")))
-    own = pairs.withColumnRenamed("n", "pair_n").withColumnRenamed("n_target", "pair_n_target")
-    rows = [x.join(s, "a").join(t, "b") for y, t in _split(own, second, frequent_words, "b") for x, s in _split(y, first, frequent_words, "a")]
-    rows = reduce(DataFrame.unionByName, rows)
-    often = F.col("pair_n") >= frequent
-    losses = []
-    for m, (count, context, s, total) in models.items():
-        c = F.col(f"a_{context}") * F.lit(s)
-        p = (F.col(f"b_{count}") * F.lit(s) + FLOOR) / F.lit(total + FLOOR * n_ids)
-        losses.append((-F.log(F.when(c > 0, kept(f"pair_{count}", s) / c).otherwise(0.0) + F.col(f"back_{m}") * p)).cast("float").alias(m))
-    table = save(rows.select(F.when(often, F.col("a")).alias("a"), F.when(often, F.col("b")).alias("b"), F.when(~often, F.xxhash64("a", "b")).alias("key"), *losses), "losses")
-    drop(pairs)
-    drop(stats)
-    top = table.filter("a is not null").select("a", "b", "target", "background").toArrow()
-    a, b = (top.column(x).to_numpy().view(np.uint64) for x in ("a", "b"))
-    keys = _key(a, b)
-    order = np.argsort(keys)
-    return Frequent(keys[order], *(top.column(m).to_numpy()[order] for m in ("target", "background"))), table.filter("key is not null").select("key", "target", "background")
-
-
-_NAMES = ["row", "doc_id", "n_tokens", "a", "b", "target", "background"]
-_PARTS = "row long, doc_id long, n_tokens long, a long, b long, target double, background double"
-
-
-def score(docs: DataFrame, labels: DataFrame, **models) -> DataFrame:
+
+    def asked(number: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        docs, goods, sizes, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        own, words = Chunk.of(bounds, hashes)
+        of_words, of_pairs = own.counts(goods)
+        rows = []
+        for bucket, a, b in own.dealt(buckets):
+            rows.append((bucket, number, _joined(own.words[a].tobytes(), *(_packed(x[a]) for x in of_words), own.pairs[b].tobytes(), *(_packed(x[b]) for x in of_pairs))))
+        yield _rows(rows)
+        known = docs["valid"]
+        tokens = pa.compress(words.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+        yield _rows([(-1 - number, number, _joined(docs["id"].tobytes(), known.tobytes(), _packed(sizes), own.words[1:].tobytes(), struct.pack("<q", len(words)), tokens))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for block in at.blocks(batches, "text"):
+            data, offsets = at.raw(block.column("text"))
+            data = at.lower_ascii(data)
+            words = at.cut(data, offsets)
+            docs = np.zeros(block.num_rows, [("id", np.int64), ("valid", bool)])
+            docs["id"] = block.column("doc_id").fill_null(0).to_numpy()
+            docs["valid"] = block.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            held.append((docs, block.column("good").to_numpy(zero_copy_only=False), np.diff(words.first), at.span_hash(data, words.start, words.end)))
+            size += len(words.start)
+            if size >= most:
+                yield from asked(number, held)
+                number, held, size = number + 1, [], 0
+        if held:
+            yield from asked(number, held)
+
+    return run
+
+
+def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield tuple(batch.column(k)[row].as_py() for k in range(3))
+
+
+def _summed(keys: list[np.ndarray], counts: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """For each request the sums over all requests of its keys, by field."""
+    _, where = np.unique(np.concatenate(keys), return_inverse=True)
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    sums = []
+    for field in zip(*counts, strict=True):
+        total = np.bincount(where, np.concatenate(field)).astype(np.int64) if len(where) else np.zeros(0, np.int64)
+        sums.append(np.split(total[where], ends))
+    return list(map(list, zip(*sums, strict=True)))
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests, a bucket after the other, to answers of the same order; texts pass through."""
+    for bucket, rows in groupby(_sorted(batches), lambda r: r[0]):
+        if bucket < 0:
+            yield _rows(list(rows))
+            continue
+        chunks, asked = [], []
+        for _, chunk, body in rows:
+            chunks.append(chunk)
+            asked.append(_parts(body))
+        sums = []
+        for first, fields in ((0, 4), (5, 2)):
+            sums.append(_summed([np.frombuffer(p[first], np.uint64) for p in asked], [[_unpacked(x) for x in p[first + 1 : first + 1 + fields]] for p in asked]))
+        for chunk, a, b in zip(chunks, *sums, strict=True):
+            yield _rows([(bucket, chunk, _joined(*map(_packed, a), *map(_packed, b)))])
+
+
+_SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
+
+
+def _score(buckets: int, n: int, n_target: int):
+    """Answers and texts, a chunk after the other, to scores."""
+    scale = n_target / n if n_target else 1.0
+
+    def scored(texts: bytes, answers: dict[int, bytes]) -> pa.RecordBatch:
+        ids, valid, sizes, words, length, tokens = _parts(texts)
+        length = struct.unpack("<q", length)[0]
+        sizes = _unpacked(sizes)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        number = np.ascontiguousarray(np.frombuffer(pa.decompress(bytes(tokens), 4 * length, "zstd", asbytes=True), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+        own = Chunk(bounds, np.concatenate([np.array([START], np.uint64), np.frombuffer(words, np.uint64)]), number)
+        of_words, of_pairs = np.zeros((4, len(own.words))), np.zeros((2, len(own.pairs)))
+        for bucket, a, b in own.dealt(buckets):
+            answer = [_unpacked(x) for x in _parts(answers[bucket])]
+            of_words[:, a], of_pairs[:, b] = answer[:4], answer[4:]
+        empty = sizes == 0
+        prior = of_words[0] / max(n, 1)
+        losses = []
+        for pair, word, before, total, s in ((of_pairs[1], of_words[1], of_words[3], n_target, 1.0), (of_pairs[0], of_words[0], of_words[2], n * scale, scale)):
+            p = (s * word + KAPPA * prior) / (total + KAPPA)
+            each = np.log(s * before[own.before] + MU) - np.log(s * pair + MU * p[own.word])
+            mean = np.zeros(len(sizes))
+            if len(number):
+                mean[~empty] = np.add.reduceat(each[own.token], bounds[:-1][~empty]) / sizes[~empty]
+            losses.append(mean)
+        doc = pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(valid, bool))
+        columns = [doc, pa.array(sizes), *(pa.array(x, mask=empty) for x in (*losses, losses[0] - losses[1]))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby(_sorted(batches), lambda r: r[1]):
+            found = {bucket: body for bucket, _, body in rows}
+            yield scored(found.pop(min(found)), found)
+
+    return run
+
+
+def score(docs: DataFrame, labels: DataFrame, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """Cross-entropy difference of every row of ``docs(doc_id, text, ...)``.
 
     ``labels(doc_id, quality, toxic)``: documents of quality 1 that are not toxic
     are the target.  Returns ``doc_id, n_tokens, target_loss, background_loss,
     difference`` in nats a token.  Texts without a word, and null ones, have 0
-    tokens and null losses.  Without a target its model is uniform.  Repeated rows
-    count and are scored each; labels that contradict each other are no target;
-    other columns are ignored; an empty table gives an empty result.
+    tokens and null losses.  Without a target its model is the corpus' words alone.
+    Repeated rows count and are scored each; labels that contradict each other are
+    no target; other columns are ignored; an empty table gives an empty result.
+
+    ``docs`` must be the same rows in the same order if a task of it runs again, as
+    those of a table are.  ``chunk`` and ``bucket`` bound memory and change no score.
+    A word or bigram is in one request a chunk, so none is hot by more than that.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     target = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("good")).filter("good").select("doc_id")
-    frequent, others = learn(own, target, **models)
-    broadcast = own.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with the sums of its frequent bigrams, and one for each other bigram."""
-        for block in at.blocks(batches, "text"):
-            before, word, first = _bigrams(block.column("text"))
-            known, place = broadcast.value.find(_key(before, word))
-            sums = []
-            for losses in (broadcast.value.target, broadcast.value.background):
-                each = np.zeros(len(word)) if not len(losses) else np.where(known, losses[place], 0).astype(float)
-                total = np.concatenate([[0], np.cumsum(each)])
-                sums.append(total[first[1:]] - total[first[:-1]])
-            row = block.column("row").to_numpy()
-            n = len(row)
-            tail = np.repeat(row, np.diff(first))[~known]
-            none = pa.nulls(len(tail), pa.int64())
-            yield pa.RecordBatch.from_arrays([block.column("row"), block.column("doc_id"), pa.array(np.diff(first)), block.column("row"), pa.nulls(n, pa.int64()), *map(pa.array, sums)], names=_NAMES)
-            if len(tail):
-                zero = pa.nulls(len(tail), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(tail), none, none, pa.array(before[~known].view(np.int64)), pa.array(word[~known].view(np.int64)), zero, zero], names=_NAMES)
-
-    parts = own.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, _PARTS)
-    # A text's own row has a key too, which spreads such rows over the join; what it meets is not used.
-    parts = parts.select("row", "doc_id", "n_tokens", F.xxhash64("a", "b").alias("key"), "target", "background")
-    others = others.withColumnsRenamed({"target": "t", "background": "b"})
-    joined = parts.join(others, "key", "left")
-    summed = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        *(F.sum(F.when(F.col("n_tokens").isNotNull(), F.col(m)).otherwise(F.col(x))).alias(m) for m, x in (("target", "t"), ("background", "b"))),
-    )
-    losses = [F.when(F.col("n_tokens") > 0, F.col(m) / F.col("n_tokens")).alias(f"{m}_loss") for m in ("target", "background")]
-    return summed.select("doc_id", "n_tokens", *losses).withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    marked = _marked(own, target)
+    totals = marked.mapInArrow(_totals, "n long, n_target long").agg(F.sum("n"), F.sum("n_target")).first()
+    n, n_target = totals[0] or 0, totals[1] or 0
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * tasks, -(-n // bucket))
+    asked = marked.mapInArrow(_ask(buckets, chunk), _ROWS)
+    answered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, _ROWS)
+    return answered.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_score(buckets, n, n_target), _SCORES)

@@ -7,64 +7,78 @@ from collections import Counter
 from loomline.llm import lm_score
 from tests.llm.conftest import SCHEMA
 
+LOWER = {k: k + 32 for k in range(65, 91)}
 
-def plain(rows, good, vocabulary):
-    """Scores by the definition, words as strings and every bigram stored."""
-    tokens = {d: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for d, t in rows}
-    known = set(sorted((c := Counter(w for ws in tokens.values() for w in ws)), key=lambda w: (-c[w], w))[:vocabulary])
-    ids = {d: [w if w in known else None for w in ws] for d, ws in tokens.items()}
+
+def plain(rows, good):
+    """Scores by the definition, words as strings."""
+    tokens = {d: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) for d, t in rows}
     counts = []
-    for docs in (good, ids):
-        uni, two, context = Counter(), Counter(), Counter()
+    for docs in (good, tokens):
+        words, two, before = Counter(), Counter(), Counter()
         for d in docs:
-            pairs = list(zip(["<s>", *ids[d]], ids[d], strict=False))
-            uni.update(ids[d])
+            pairs = list(zip(["<s>", *tokens[d]], tokens[d], strict=False))
+            words.update(tokens[d])
             two.update(pairs)
-            context.update(a for a, _ in pairs)
-        counts.append((uni, two, context))
-    scale = sum(counts[0][0].values()) / sum(counts[1][0].values())
-    stored = counts[1][1].keys()
+            before.update(a for a, _ in pairs)
+        counts.append((words, two, before))
+    corpus, n, n_target = counts[1][0], sum(counts[1][0].values()), sum(counts[0][0].values())
+    scale = n_target / n if n_target else 1
     losses = []
-    for (uni, two, context), s in zip(counts, (1, scale), strict=True):
-        total = sum(uni.values()) * s + lm_score.FLOOR * (len(known) + 1)
-
-        def loss(a, b, uni=uni, two=two, context=context, s=s, total=total):
-            p, c = (uni[b] * s + lm_score.FLOOR) / total, context[a] * s
-            if not c:
-                return -math.log(p)
-            back = min(1, max(1e-9, 1 - sum(max(n * s - lm_score.DISCOUNT, 0) for (x, _), n in two.items() if x == a) / c))
-            own = max(two[a, b] * s - lm_score.DISCOUNT, 0) / c if (a, b) in stored else 0
-            return -math.log(own + back * p)
-
-        losses.append({d: sum(loss(a, b) for a, b in zip(["<s>", *ws], ws, strict=False)) / len(ws) if ws else None for d, ws in ids.items()})
+    for (words, two, before), s, total in zip(counts, (1, scale), (n_target, n * scale), strict=True):
+
+        def loss(a, b, words=words, two=two, before=before, s=s, total=total):
+            p = (s * words[b] + lm_score.KAPPA * corpus[b] / n) / (total + lm_score.KAPPA)
+            return -math.log((s * two[a, b] + lm_score.MU * p) / (s * before[a] + lm_score.MU))
+
+        losses.append({d: sum(loss(a, b) for a, b in zip(["<s>", *ws], ws, strict=False)) / len(ws) if ws else None for d, ws in tokens.items()})
     return losses
 
 
 def test_brute_force(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id < 25 and lang = 'en'")
+    """Every text, and chunks and buckets of any size: no word or bigram is left out."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    good = [d for d, _ in rows[::2]]
-    labels = spark.createDataFrame([(d, 1, 0) for d in good], "doc_id long, quality int, toxic int")
-    vocabulary = 10**6  # all words: ties at a cut would be broken by hash, not by name
-    target, background = plain(rows, good, vocabulary)
-    for r in lm_score.score(docs, labels, vocabulary=vocabulary).collect():
-        assert math.isclose(r["target_loss"], target[r["doc_id"]], rel_tol=1e-6) and math.isclose(r["background_loss"], background[r["doc_id"]], rel_tol=1e-6)
-        assert math.isclose(r["difference"], r["target_loss"] - r["background_loss"], abs_tol=1e-9)
+    for good in ([d for d, _ in rows[::2]], []):
+        labels = spark.createDataFrame([(d, 1, 0) for d in good], "doc_id long, quality int, toxic int")
+        target, background = plain(rows, good)
+        for sizes in ({}, {"chunk": 500, "bucket": 100}):
+            got = lm_score.score(docs, labels, **sizes).collect()
+            assert sorted(r["doc_id"] for r in got) == sorted(target)
+            for r in got:
+                if target[r["doc_id"]] is None:
+                    assert r["difference"] is None
+                    continue
+                assert math.isclose(r["target_loss"], target[r["doc_id"]], rel_tol=1e-6) and math.isclose(r["background_loss"], background[r["doc_id"]], rel_tol=1e-6)
+                assert math.isclose(r["difference"], r["target_loss"] - r["background_loss"], abs_tol=1e-9)
+
+
+def test_probabilities_sum_to_one():
+    """Over the words that can follow one word, in either model."""
+    texts = ["a b a c", "b c", "a a d"]
+    tokens = [t.split() for t in texts]
+    words = Counter(w for t in tokens for w in t)
+    two = Counter(p for t in tokens for p in zip(["<s>", *t], t, strict=False))
+    n = sum(words.values())
+    for s, total in ((1, n), (0.3, 0.3 * n)):
+        before = sum(c for (a, _), c in two.items() if a == "a") * s
+        p = {w: (s * words[w] + lm_score.KAPPA * words[w] / n) / (total + lm_score.KAPPA) for w in words}
+        assert math.isclose(sum((s * two["a", w] + lm_score.MU * p[w]) / (before + lm_score.MU) for w in words), 1)
 
 
 def test_told_apart(spark, data):
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     rows = lm_score.score(docs, labels).join(labels, "doc_id").collect()
     mean = lambda q: (lambda x: sum(x) / len(x))([r["difference"] for r in rows if r["quality"] == q])
-    assert mean(1) < mean(0) - 1
+    assert mean(1) < mean(0) - 0.5
 
 
 def test_shuffled_ids_give_the_same(spark, data, monkeypatch):
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     key = lambda df: sorted((r["doc_id"], round(r["difference"] or 0, 9)) for r in df.collect())
-    a = key(lm_score.score(docs, labels, bigrams=500))
+    a = key(lm_score.score(docs, labels, chunk=2000))
     monkeypatch.setattr(lm_score, "BROADCAST_IDS", 1)
-    assert key(lm_score.score(docs.repartition(3), labels, bigrams=500)) == a
+    assert key(lm_score.score(docs.repartition(3), labels)) == a
 
 
 def test_awkward(spark, awkward, empty, labels):
@@ -76,17 +90,3 @@ def test_awkward(spark, awkward, empty, labels):
     none = lm_score.score(awkward, labels.limit(0)).collect()
     assert len(none) == awkward.count()
     assert lm_score.score(spark.createDataFrame([(1, None, None, None, 0)], SCHEMA), labels).first()["n_tokens"] == 0
-
-
-def test_nothing_is_cut(spark, data):
-    """What is broadcast changes no score: every word and bigram has its own loss."""
-    docs = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id < 25 and lang = 'en'")
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    good = [d for d, _ in rows[::2]]
-    labels = spark.createDataFrame([(d, 1, 0) for d in good], "doc_id long, quality int, toxic int")
-    target, background = plain(rows, good, 10**6)
-    for sizes in ({"vocabulary": 20, "bigrams": 30}, {"vocabulary": 0, "bigrams": 0}):
-        got = lm_score.score(docs, labels, **sizes).collect()
-        assert len(got) == len(rows)
-        for r in got:
-            assert math.isclose(r["target_loss"], target[r["doc_id"]], rel_tol=1e-6) and math.isclose(r["background_loss"], background[r["doc_id"]], rel_tol=1e-6)
