@@ -44,15 +44,20 @@ BROADCAST_IDS = 4_000_000
 START = 0x5354415254
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers in the fewest bytes that hold each of them, told by the first byte."""
+def _packed(*fields: np.ndarray) -> bytes:
+    """Fields of whole numbers from 0, of one length, compressed a byte plane after the other."""
+    values = np.concatenate(fields).astype(np.int64)
     most = int(values.max(initial=0))
-    size = next(s for s in (1, 2, 4, 8) if most < 1 << (8 * s - 1) or s == 8)
-    return bytes([size]) + values.astype(f"<i{size}").tobytes()
+    size = next(s for s in (1, 2, 4, 8) if most < 1 << (8 * s - 1))
+    planes = values.astype(f"<i{size}").view(np.uint8).reshape(-1, size).T.tobytes()
+    return struct.pack("<qqq", len(fields), len(values), size) + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpacked(data: memoryview) -> np.ndarray:
-    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
+    """A row for each field."""
+    fields, n, size = struct.unpack_from("<qqq", data)
+    planes = np.frombuffer(pa.decompress(bytes(data[24:]), n * size, "zstd", asbytes=True), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(f"<i{size}").reshape(fields, -1).astype(np.int64)
 
 
 def _joined(*parts: bytes) -> bytes:
@@ -101,17 +106,26 @@ class Chunk:
         return sums, pairs
 
     def dealt(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """The words and bigrams of each bucket that has any."""
+        """The words and bigrams of each bucket that has any, by key."""
         places = []
         for keys in (self.words, self.pairs):
-            bucket = (keys % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            bucket = ((keys >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((keys & _KEY, bucket))
             places.append((order, np.searchsorted(bucket[order], np.arange(buckets + 1))))
         (words, a), (pairs, b) = places
         for k in np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1])):
             yield int(k), words[a[k] : a[k + 1]], pairs[b[k] : b[k + 1]]
 
 
+#: The bits of a hash that tell keys of a bucket apart.
+_KEY = np.uint64((1 << 48) - 1)
+
+
+def _told(keys: np.ndarray) -> bytes:
+    """Keys of a bucket, in order, by their distances."""
+    return _packed(np.diff((keys & _KEY).astype(np.int64), prepend=0))
+
+
 def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
     """``doc_id, text, good`` of every document: whether its doc_id is in ``target``."""
     ids = target.select("doc_id").distinct()
@@ -162,11 +176,9 @@ def _ask(buckets: int, most: int):
         of_words, of_pairs = own.counts(goods)
         rows = []
         for bucket, a, b in own.dealt(buckets):
-            rows.append((bucket, number, _joined(own.words[a].tobytes(), *(_packed(x[a]) for x in of_words), own.pairs[b].tobytes(), *(_packed(x[b]) for x in of_pairs))))
+            rows.append((bucket, number, _joined(_told(own.words[a]), _packed(*(x[a] for x in of_words)), _told(own.pairs[b]), _packed(*(x[b] for x in of_pairs)))))
         yield _rows(rows)
-        known = docs["valid"]
-        tokens = pa.compress(words.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
-        yield _rows([(-1 - number, number, _joined(docs["id"].tobytes(), known.tobytes(), _packed(sizes), own.words[1:].tobytes(), struct.pack("<q", len(words)), tokens))])
+        yield _rows([(-1 - number, number, _joined(docs["id"].tobytes(), docs["valid"].tobytes(), _packed(sizes), own.words[1:].tobytes(), _packed(words)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -196,15 +208,13 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(batch.column(k)[row].as_py() for k in range(3))
 
 
-def _summed(keys: list[np.ndarray], counts: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
-    """For each request the sums over all requests of its keys, by field."""
-    _, where = np.unique(np.concatenate(keys), return_inverse=True)
-    ends = np.cumsum([len(k) for k in keys])[:-1]
-    sums = []
-    for field in zip(*counts, strict=True):
-        total = np.bincount(where, np.concatenate(field)).astype(np.int64) if len(where) else np.zeros(0, np.int64)
-        sums.append(np.split(total[where], ends))
-    return list(map(list, zip(*sums, strict=True)))
+def _summed(asked: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+    """For each request, ``(keys, fields)``, the sums over all requests of its keys."""
+    _, where = np.unique(np.concatenate([keys for keys, _ in asked]), return_inverse=True)
+    counts = np.concatenate([fields for _, fields in asked], axis=1)
+    sums = np.array([np.bincount(where, field, int(where.max(initial=-1)) + 1) for field in counts]).astype(np.int64)[:, where]
+    ends = np.cumsum([len(keys) for keys, _ in asked])[:-1]
+    return [_packed(*x) for x in np.split(sums, ends, axis=1)]
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,15 +223,14 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if bucket < 0:
             yield _rows(list(rows))
             continue
-        chunks, asked = [], []
+        chunks, words, pairs = [], [], []
         for _, chunk, body in rows:
             chunks.append(chunk)
-            asked.append(_parts(body))
-        sums = []
-        for first, fields in ((0, 4), (5, 2)):
-            sums.append(_summed([np.frombuffer(p[first], np.uint64) for p in asked], [[_unpacked(x) for x in p[first + 1 : first + 1 + fields]] for p in asked]))
-        for chunk, a, b in zip(chunks, *sums, strict=True):
-            yield _rows([(bucket, chunk, _joined(*map(_packed, a), *map(_packed, b)))])
+            a, of_a, b, of_b = map(_unpacked, _parts(body))
+            words.append((np.cumsum(a), of_a))
+            pairs.append((np.cumsum(b), of_b))
+        for chunk, *sums in zip(chunks, _summed(words), _summed(pairs), strict=True):
+            yield _rows([(bucket, chunk, _joined(*sums))])
 
 
 _SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
@@ -232,16 +241,13 @@ def _score(buckets: int, n: int, n_target: int):
     scale = n_target / n if n_target else 1.0
 
     def scored(texts: bytes, answers: dict[int, bytes]) -> pa.RecordBatch:
-        ids, valid, sizes, words, length, tokens = _parts(texts)
-        length = struct.unpack("<q", length)[0]
-        sizes = _unpacked(sizes)
+        ids, valid, sizes, words, number = _parts(texts)
+        sizes, number = _unpacked(sizes)[0], _unpacked(number)[0]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        number = np.ascontiguousarray(np.frombuffer(pa.decompress(bytes(tokens), 4 * length, "zstd", asbytes=True), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
         own = Chunk(bounds, np.concatenate([np.array([START], np.uint64), np.frombuffer(words, np.uint64)]), number)
         of_words, of_pairs = np.zeros((4, len(own.words))), np.zeros((2, len(own.pairs)))
         for bucket, a, b in own.dealt(buckets):
-            answer = [_unpacked(x) for x in _parts(answers[bucket])]
-            of_words[:, a], of_pairs[:, b] = answer[:4], answer[4:]
+            of_words[:, a], of_pairs[:, b] = map(_unpacked, _parts(answers[bucket]))
         empty = sizes == 0
         prior = of_words[0] / max(n, 1)
         losses = []
@@ -285,7 +291,7 @@ def score(docs: DataFrame, labels: DataFrame, chunk: int = CHUNK, bucket: int =
     totals = marked.mapInArrow(_totals, "n long, n_target long").agg(F.sum("n"), F.sum("n_target")).first()
     n, n_target = totals[0] or 0, totals[1] or 0
     tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * tasks, -(-n // bucket))
+    buckets = max(2 * tasks, -(-n // bucket))
     asked = marked.mapInArrow(_ask(buckets, chunk), _ROWS)
     answered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, _ROWS)
     return answered.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_score(buckets, n, n_target), _SCORES)
