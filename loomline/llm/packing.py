@@ -1,8 +1,9 @@
 """Packing of tokenised documents into sequences by minimum bin slack.
 
-Every task tokenises its own split and packs it at once, so nothing is shuffled:
-full windows are cut off long documents, and what remains of each document is
-packed by a bitset subset-sum over the counts of remaining lengths.
+Every task tokenises its own split and cuts full windows off long documents.  What
+remains of each document is dealt over pools of some ten thousand remainders, each
+packed by a bitset subset-sum over the counts of remaining lengths: the largest
+length opens a window and the multiset that leaves the least slack joins it.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
-#: Remainders that a task holds before it packs them; bounds its memory, not its input.
-POOL = 200_000
+#: Remainders of a pool, about: 4 KB each at most.  Enough of them for windows without slack.
+POOL = 1 << 15
+#: A window is emitted with this share of slack at most; what would leave more is cut.
+SLACK = 1 / 128
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -33,8 +36,8 @@ class Encoder:
 
     A byte-level vocabulary lists its tokens in the order of their merges, so its
     ids serve as ranks, and a rank encoder gives the same ids at a fifth of the
-    time.  It is quadratic in a word's length; texts with enormous words take the
-    tokenizer itself.
+    time.  It is quadratic in a word's length, and knows no special tokens; texts
+    with enormous words or with the string of an added token take the tokenizer itself.
     """
 
     _blank = re.compile(r"\s{1000}")
@@ -44,8 +47,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        special = set(self.tokenizer.get_added_tokens_decoder())
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = set(added)
+        self.added = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
         hidden = [b for b in range(256) if b not in set(plain)]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(hidden)}
@@ -53,7 +57,8 @@ class Encoder:
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if len(text) >= 1000 and (max(map(len, text.split()), default=0) >= 1000 or self._blank.search(text)):
+        long = len(text) >= 1000 and (max(map(len, text.split()), default=0) >= 1000 or self._blank.search(text))
+        if long or self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
@@ -111,69 +116,62 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-class Packer:
-    """Packs what it is given and emits columns of pieces."""
-
-    def __init__(self, first_sequence: int, capacity: int) -> None:
-        self.next, self.capacity = first_sequence, capacity
-        self.rows: list[tuple] = []
-        self.pool: dict[int, list[tuple]] = defaultdict(list)
-        self.held = 0
-
-    def add(self, doc_id, ids: bytes) -> None:
-        """A document's ids with its end id; whole windows leave at once."""
-        n, window = len(ids) // 4, self.capacity
-        whole = n // window * window
-        for start in range(0, whole, window):
-            self.rows.append((doc_id, start, window, zlib.crc32(ids[4 * start : 4 * (start + window)]), n, self.next, 0))
-            self.next += 1
-        if n > whole:
-            self.pool[n - whole].append((doc_id, whole, ids[4 * whole :], n))
-            self.held += 1
-
-    def _open(self, pieces: list[tuple]) -> None:
-        offset = 0
-        for doc_id, start, ids, n in pieces:
-            self.rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), n, self.next, offset))
-            offset += len(ids) // 4
-        self.next += 1
-
-    def pack(self) -> None:
-        """Packs the pool.  A window that no multiset fills takes its last ids from
-        the next one; the very last ids go to windows of powers of two, unpadded."""
-        carry: list[tuple] = []
-        for pattern, times in plan({k: len(v) for k, v in self.pool.items()}, self.capacity):
-            short = self.capacity - sum(k * n for k, n in pattern)
-            for _ in range(times):
-                pieces = [self.pool[k].pop() for k, n in pattern for _ in range(n)]
-                if short:
-                    carry += pieces
-                else:
-                    self._open(pieces)
-        self.pool.clear()
-        self.held = 0
-        total = sum(len(p[2]) // 4 for p in carry)
-        sizes = [self.capacity] * (total // self.capacity) + powers(total % self.capacity)
-        carry.reverse()
-        for size in sizes:
-            pieces, room = [], size
-            while room:
-                doc_id, start, ids, n = carry.pop()
-                take = min(room, len(ids) // 4)
-                pieces.append((doc_id, start, ids[: 4 * take], n))
-                if 4 * take < len(ids):
-                    carry.append((doc_id, start + take, ids[4 * take :], n))
-                room -= take
-            self._open(pieces)
-
-    def batch(self) -> pa.RecordBatch:
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        columns = list(zip(*self.rows, strict=True)) or [[] for _ in names]
-        self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-
-def _pack(path: str, end: int, capacity: int, pool: int):
+def cut(doc_id, ids: bytes, sequence: int, capacity: int) -> tuple[list[tuple], bytes]:
+    """The full windows of a document, the first of number ``sequence``, and what remains."""
+    n = len(ids) // 4
+    whole = n // capacity * capacity
+    rows = []
+    for k, start in enumerate(range(0, whole, capacity)):
+        rows.append((doc_id, start, capacity, zlib.crc32(ids[4 * start : 4 * (start + capacity)]), n, sequence + k, 0))
+    return rows, ids[4 * whole :]
+
+
+def windows(remainders: list[tuple], capacity: int = CAPACITY) -> Iterator[list[tuple]]:
+    """Remainders ``(doc_id, start, ids, doc_tokens)`` in windows, for one result whatever their order.
+
+    Lengths that only make windows with more slack than :data:`SLACK` are laid end
+    to end and cut at the capacity; the last ids take windows of powers of two.
+    """
+    pool: dict[int, list[tuple]] = defaultdict(list)
+    for r in sorted(remainders, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:])):
+        pool[len(r[2]) // 4].append(r)
+    left: list[tuple] = []
+    for pattern, times in plan({k: len(v) for k, v in pool.items()}, capacity):
+        slack = capacity - sum(k * n for k, n in pattern)
+        for _ in range(times):
+            pieces = [pool[k].pop() for k, n in pattern for _ in range(n)]
+            if slack <= SLACK * capacity:
+                yield pieces
+            else:
+                left += pieces
+    total = sum(len(p[2]) // 4 for p in left)
+    left.reverse()
+    for size in [capacity] * (total // capacity) + powers(total % capacity):
+        pieces, room = [], size
+        while room:
+            doc_id, start, ids, n = left.pop()
+            take = min(room, len(ids) // 4)
+            pieces.append((doc_id, start, ids[: 4 * take], n))
+            if 4 * take < len(ids):
+                left.append((doc_id, start + take, ids[4 * take :], n))
+            room -= take
+        yield pieces
+
+
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(_NAMES))], names=_NAMES)
+
+
+def _cut(path: str, end: int, capacity: int):
+    """Pieces of full windows, and with ``ids`` in place of a sequence what remains of each document."""
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        ids = pa.array([r[7] for r in rows], pa.binary())
+        return pa.RecordBatch.from_arrays([*_batch(rows).columns, ids, pa.array([r[8] for r in rows], pa.int64())], names=[*_NAMES, "ids", "draw"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -181,16 +179,47 @@ def _pack(path: str, end: int, capacity: int, pool: int):
         from pyspark import TaskContext
 
         encode, tail = Encoder(path), np.array([end], "<u4").tobytes()
-        packer = Packer(TaskContext.get().partitionId() << 40, capacity)
+        first = sequence = TaskContext.get().partitionId() << 32
+        rows, number, held = [], first, 0
         for batch in batches:
             for row in range(batch.num_rows):
-                packer.add(batch.column(0)[row].as_py(), encode(batch.column(1)[row].as_py() or "") + tail)
-                if packer.held >= pool:
-                    packer.pack()
-                if len(packer.rows) >= 20_000:
-                    yield packer.batch()
-        packer.pack()
-        yield packer.batch()
+                doc_id, number = batch.column(0)[row].as_py(), number + 1
+                ids = encode(batch.column(1)[row].as_py() or "") + tail
+                full, rest = cut(doc_id, ids, sequence, capacity)
+                sequence += len(full)
+                rows += [(*r, None, number) for r in full]
+                if rest:
+                    rows.append((doc_id, len(ids) // 4 - len(rest) // 4, None, None, len(ids) // 4, None, None, rest, number))
+                    held += len(rest)
+                if len(rows) >= 20_000 or held >= 8 << 20:
+                    yield told(rows)
+                    rows, held = [], 0
+        yield told(rows)
+
+    return run
+
+
+def _pack(capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        remainders = []
+        for batch in batches:
+            full = batch.filter(batch.column("ids").is_null())
+            yield full.select(_NAMES)
+            rest = batch.filter(batch.column("ids").is_valid()).select(["doc_id", "start", "ids", "doc_tokens"])
+            remainders += zip(*(rest.column(k).to_pylist() for k in range(4)), strict=True)
+        rows, sequence = [], 1 << 62 | TaskContext.get().partitionId() << 32
+        for pieces in windows(remainders, capacity):
+            offset = 0
+            for doc_id, start, ids, n in pieces:
+                rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), n, sequence, offset))
+                offset += len(ids) // 4
+            sequence += 1
+            if len(rows) >= 20_000:
+                yield _batch(rows)
+                rows = []
+        yield _batch(rows)
 
     return run
 
@@ -201,12 +230,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     ``tokenizer`` is the path of a tokenizer file that executors can read.  Every
     document is its ids and then ``end_id``; null text counts as empty, so it is
     the end id alone.  One row per piece: ``doc_id, start, length, ids_crc32,
-    doc_tokens, sequence_id, offset``.  A sequence holds ``capacity`` ids or a
-    power of two, so none needs padding.  Rows that repeat, share a doc_id or
-    have none are packed as documents of their own.  Sequence numbers start from
-    the partition's number, so a task that runs again gives the same rows.
+    doc_tokens, sequence_id, offset``.  A sequence holds ``capacity`` ids, or up to
+    :data:`SLACK` of it less, or a power of two.  Rows that repeat, share a doc_id
+    or have none are packed as documents of their own; no rows give no rows.
+
+    One shuffle, of the remainders' ids, into pools by row number, so no key is hot;
+    a pool is sorted before it is packed, so a task that runs again gives the same
+    rows as long as ``docs`` has the same rows in the same order, as a table has.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_pack(tokenizer, end_id, capacity, pool), _PIECES)
+    pools = max(1, -(-texts.count() // pool))
+    pieces = texts.mapInArrow(_cut(tokenizer, end_id, capacity), f"{_PIECES}, ids binary, draw long")
+    return pieces.repartition(pools, "draw").mapInArrow(_pack(capacity), _PIECES)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.plans.session import ship
 
 from . import chat, decontaminate, language_id, lm_score, near_dedup, packing, quality, secrets, url_filter, warc
 
-#: Where tokenizer files are; a parameter, they are not part of this repository.
-TOKENIZERS = os.environ.get("LOOMLINE_TOKENIZERS", "/opt/tokenizers")
+#: The file of the tokenizer, a parameter of packing; it is not part of this repository.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZERS = TOKENIZER.rpartition("/")[0]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
