@@ -13,6 +13,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9
 #: How gzip and zlib data begin.
 _COMPRESSED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _URL_SAFE = str.maketrans("-_", "+/")
-#: A layer that inflates beyond this is left as it is: its run is no secret, but a bomb.
-INFLATED = 64 << 20
+#: Inflated data are scanned in windows of so many bytes, each of which begins with the
+#: last bytes of the one before.  What stands in a window is found whole; a compressed
+#: layer inside inflated data is inflated from its first window on.
+WINDOW, OVERLAP = 4 << 20, 1 << 16
 MASK = "[SECRET]"
 
 Span = tuple[int, int, int]  # start, kind, end: in the order of results
@@ -53,24 +56,34 @@ def scan(text: str) -> list[Span]:
 
 
 class Layer:
-    """A text and, for each of its characters, the span of the original it comes from."""
+    """A text and, for each of its characters, the span of the original it comes from.
 
-    def __init__(self, text: str, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> None:
+    ``lo`` and ``hi`` are arrays, or numbers where all characters come from one span.
+    """
+
+    def __init__(self, text: str, lo: np.ndarray | int | None = None, hi: np.ndarray | int | None = None) -> None:
         self.text, self.lo, self.hi = text, lo, hi
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.lo is None:
             return start, end
+        if isinstance(self.lo, int):
+            return self.lo, self.hi
         return int(self.lo[start:end].min()), int(self.hi[start:end].max())
 
     def origins(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         if self.lo is None:
             at_ = np.arange(start, end)
             return at_, at_ + 1
+        if isinstance(self.lo, int):
+            return np.full(end - start, self.lo), np.full(end - start, self.hi)
         return self.lo[start:end], self.hi[start:end]
 
     def rewritten(self, runs: re.Pattern, decode) -> Layer | None:
         """This layer with all runs decoded in place; a decoded character comes from its whole run."""
+        if isinstance(self.lo, int):
+            to = runs.sub(lambda m: m[0] if (x := decode(m[0])) is None else x, self.text)
+            return None if to == self.text else Layer(to, self.lo, self.hi)
         parts, lo, hi, last = [], [], [], 0
         for m in runs.finditer(self.text):
             if (to := decode(m[0])) is None:
@@ -92,37 +105,67 @@ def _unescaped(run: str) -> str | None:
     return "".join(map(chr, points)).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
-def _inflated(data: bytes) -> bytes | None:
-    for bits in (31, 15):  # gzip, zlib
-        try:
-            unzip = zlib.decompressobj(bits)
-            out = unzip.decompress(data, INFLATED)
-            return out if unzip.eof else None
-        except zlib.error:
-            continue
-    return None
+def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What gzip or zlib data inflate to, in pieces of :data:`WINDOW` at most and never held whole.
+
+    All members of gzip data count, each with what follows it until the next; broken
+    or truncated data give what comes before the break.  Nothing if they inflate to nothing.
+    """
+    unzip, kind = None, 31
+    for piece in pieces:
+        while piece:
+            if unzip is None:
+                if not _COMPRESSED.match(piece):
+                    return
+                kind = 31 if piece[:1] == b"\x1f" else 15
+                unzip = zlib.decompressobj(kind)
+            try:
+                out = unzip.decompress(piece, WINDOW)
+                while out:
+                    yield out
+                    out = unzip.decompress(unzip.unconsumed_tail, WINDOW) if not unzip.eof else b""
+            except zlib.error:
+                return
+            piece, unzip = (unzip.unused_data, None) if unzip.eof else (b"", unzip)
+
+
+def _innermost(pieces: Iterator[bytes], depth: int = 0) -> Iterator[bytes]:
+    """``pieces``, inflated as often as they are compressed data from their first byte on."""
+    pieces = iter(pieces)
+    first = next(pieces, b"")
+    if depth < 100 and _COMPRESSED.match(first):
+        inner = _innermost(_inflated(chain([first], pieces)), depth + 1)
+        if got := next(inner, b""):
+            yield got
+            yield from inner
+        else:
+            yield first
+        return
+    if first:
+        yield first
+        yield from pieces
+
+
+def _inflated_layers(data: bytes, lo: int, hi: int) -> Iterator[Layer]:
+    """The text in compressed data as layers of overlapping windows, all of them from ``lo:hi``."""
+    held = b""
+    for piece in _innermost(_inflated(iter([data]))):
+        held += piece
+        while len(held) >= WINDOW + OVERLAP:
+            yield Layer(held[: WINDOW + OVERLAP].decode(errors="replace"), lo, hi)
+            held = held[WINDOW:]
+    if held:
+        yield Layer(held.decode(errors="replace"), lo, hi)
 
 
 def _unbased(run: str) -> str | None:
-    """The text in a base64 run, inflated as often as it is compressed; null if there is none."""
+    """The text of a base64 run that is text from its first byte to its last; null if it is not."""
     body = run.rstrip("=").translate(_URL_SAFE)
     if len(body) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    seen = set()
-    while data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-        if data in seen:
-            break
-        seen.add(data)
-        if (out := _inflated(data)) is None:
-            break
-        data = out
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
+        text = base64.b64decode(body + "=" * (-len(body) % 4), validate=True).decode()
+    except (binascii.Error, UnicodeDecodeError):
         return None
     return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
@@ -137,7 +180,7 @@ def _shifted(layer: Layer, start: int, end: int, clean: bool) -> Iterator[Layer]
     a, b = layer.origins(start, end)
     lo, hi = a[places - start], b[places - start]
     body = "".join(layer.text[i] for i in places).translate(_URL_SAFE)
-    for first in range(1 if clean else 0, 4):
+    for first in range(1 if clean else 0, 4):  # a clean run is no compressed data
         own = body[first:]
         own = own[:-1] if len(own) % 4 == 1 else own
         if len(own) < 8:
@@ -150,21 +193,26 @@ def _shifted(layer: Layer, start: int, end: int, clean: bool) -> Iterator[Layer]
         left, right = first + 8 * (to - size) // 6, first + (8 * to - 1) // 6
         yield Layer(re.sub("[\udc80-\udcff]", "\ufffd", text), lo[left], hi[right])
         for m in _COMPRESSED.finditer(data):
-            if (out := _inflated(memoryview(data)[m.start() :])) is None:
-                continue
-            while _COMPRESSED.match(out) and (more := _inflated(out)) is not None and more != out:
-                out = more
-            text = out.decode(errors="replace")
-            x = int(lo[first + 8 * m.start() // 6])
-            yield Layer(text, np.full(len(text), x), np.full(len(text), int(hi[-1])))
+            yield from _inflated_layers(data[m.start() :], int(lo[first + 8 * m.start() // 6]), int(hi[-1]))
+
+
+def _raw(layer: Layer, runs: re.Pattern) -> Iterator[Layer]:
+    """Compressed data in runs of escaped bytes."""
+    for m in runs.finditer(layer.text):
+        parts = re.findall(r"[%\\][ux]?[0-9A-Fa-f]+", m[0])
+        data = bytes(min(int(p.lstrip("%\\ux"), 16), 255) for p in parts)
+        for c in _COMPRESSED.finditer(data):
+            yield from _inflated_layers(data[c.start() :], *layer.span(m.start(), m.end()))
 
 
 def decoded(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     if "%" in text and (x := layer.rewritten(_PERCENT, lambda r: bytes.fromhex(r.replace("%", "")).decode(errors="replace"))):
         yield x
+        yield from _raw(layer, _PERCENT)
     if "\\" in text and (x := layer.rewritten(_ESCAPED, _unescaped)):
         yield x
+        yield from _raw(layer, _ESCAPED)
     clean = set()
     for m in _BASE64.finditer(text):
         if to := _unbased(m[0]):
@@ -175,21 +223,28 @@ def decoded(layer: Layer) -> Iterator[Layer]:
         yield from _shifted(layer, m.start(), m.end(), m.span() in clean)
 
 
+def _mark(layer: Layer) -> tuple:
+    """What tells a layer from others, without its text."""
+    digest = hashlib.blake2b(layer.text.encode(errors="surrogatepass"), digest_size=16).digest()
+    return digest, *layer.span(0, len(layer.text))
+
+
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans of ``text``, and all spans: base ones and those of decoded layers."""
     text = text or ""
     base = scan(text)
     every = set(base)
-    todo, seen = [Layer(text)], {(text, 0, len(text))}
-    while todo:
-        for layer in decoded(todo.pop()):
-            if not layer.text or (key := (layer.text, *layer.span(0, len(layer.text)))) in seen:
-                continue
+    seen = {_mark(Layer(text))}
+    todo = [decoded(Layer(text))]
+    while todo:  # the deepest layers first, so that few are held at once
+        if (layer := next(todo[-1], None)) is None:
+            todo.pop()
+        elif layer.text and (key := _mark(layer)) not in seen:
             seen.add(key)
-            todo.append(layer)
             for start, kind, end in scan(layer.text):
                 a, b = layer.span(start, end)
                 every.add((a, kind, b))
+            todo.append(decoded(layer))
     return base, sorted(every)
 
 

@@ -115,3 +115,37 @@ def test_every_place_of_a_line_break():
     for n in range(40, 60):
         text = _wrap(_b64("a" * n + " " + KEY))
         assert any(k == 0 for _, k, _ in secrets.find(text)[1])
+
+
+def _percent(data):
+    return "".join(f"%{b:02x}" for b in data)
+
+
+def _escaped(data):
+    return "".join(f"\\x{b:02X}" for b in data)
+
+
+NOISE = "".join(hashlib.sha256(bytes([i])).hexdigest()[:9] + " " for i in range(40))
+COMPRESSED = {
+    "behind 65 MB": _b64(gzip.compress(b" " * (65 << 20) + b"\n" + KEY.encode())),
+    "across windows": _b64(gzip.compress(b" " * (secrets.WINDOW + secrets.OVERLAP - 12) + KEY.encode())),
+    "compressed thrice": _b64(gzip.compress(zlib.compress(gzip.compress(b"\n" * (9 << 20) + KEY.encode())))),
+    "second member": _b64(gzip.compress(b"nothing here") + gzip.compress(KEY.encode())),
+    "truncated": _b64(zlib.compress((KEY + " " + NOISE).encode())[:-40]),
+    "behind percents": _percent(gzip.compress(KEY.encode())),
+    "behind escapes": _escaped(zlib.compress(KEY.encode())),
+    "base64 in gzip": _b64(gzip.compress(_b64("my " + KEY + NOISE).encode())),
+}
+
+
+@pytest.mark.parametrize("name", COMPRESSED)
+def test_compressed(name):
+    text = f"é before {COMPRESSED[name]} after"
+    every = secrets.find(text)[1]
+    assert any(k == 0 for _, k, _ in every)
+    masked = secrets.redact(text, every)
+    assert masked.startswith("é before ") and masked.endswith(" after") and secrets.MASK in masked
+
+
+def test_bombs_are_no_secrets():
+    assert secrets.find(_b64(zlib.compress(b"z \n" * (7 << 20))))[1] == []
