@@ -7,44 +7,52 @@ inner prefix hash of another one is an earlier snapshot of it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
+from .shared import save
+
+CLOSE = "\n<|end|>\n"
 
 
 def _role(role):
     return F.coalesce(role, F.lit("unknown"))
 
 
+def _rendered(role: Column, text: Column) -> Column:
+    return F.concat(F.lit("<|"), _role(role), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit(CLOSE))
+
+
 def collapse(turns: DataFrame) -> DataFrame:
     """The maximal conversations of ``turns(conv_id, turn, role, text)``.
 
-    Returns ``conv_id, n_turns, n_copies``: of conversations with the same turns
-    the smallest conv_id stays and ``n_copies`` counts them; proper prefixes of
+    Returns ``conv_id, n_turns, n_copies, rendered``: of conversations with the same
+    turns the smallest conv_id stays and ``n_copies`` counts them; proper prefixes of
     longer conversations go.  Turns are ordered by ``turn``, ties by content; rows
     that repeat wholly count once.  Null roles and texts are told apart from empty
-    ones; rows without a conv_id are one conversation.
+    ones.  A row without a conv_id belongs to no other row: it is a conversation of
+    one turn, and ``rendered`` is its text; it is null for all others.
 
     A prefix hash is the exclusive or of position-salted turn hashes, 128 bits, so
     it is a running window aggregate.  Copies collapse before the anti-join, so
     both of its sides have distinct keys and no first turn or copy is hot there.
     """
     seen = F.struct(F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
-    hashed = turns.select("conv_id", "turn", F.xxhash64(seen, F.lit(1)).alias("a"), F.xxhash64(seen, F.lit(2)).alias("b")).distinct()
+    # The salt is hashed first, so the two hashes of a turn have nothing in common.
+    salted = [F.xxhash64(F.lit(1), seen).alias("a"), F.xxhash64(F.lit(2), seen).alias("b")]
+    prefix = [F.xxhash64("k", "a", "b"), F.xxhash64("b", "k", "a")]
+    hashed = turns.filter("conv_id is not null").select("conv_id", "turn", *salted).distinct()
     order = Window.partitionBy("conv_id").orderBy("turn", "a", "b")
     placed = hashed.withColumn("k", F.row_number().over(order))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rolling = placed.select(
-        "conv_id",
-        "k",
-        F.bit_xor(F.xxhash64("k", "a", "b")).over(upto).alias("h1"),
-        F.bit_xor(F.xxhash64("b", "k", "a")).over(upto).alias("h2"),
-        F.lead("k").over(order).isNull().alias("last"),
-    )
-    ends = rolling.filter("last").groupBy("h1", "h2", "k").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
+    rolling = placed.select("conv_id", "k", *(F.bit_xor(h).over(upto).alias(n) for h, n in zip(prefix, ("h1", "h2"), strict=True)), F.lead("k").over(order).isNull().alias("last"))
+    lone = turns.filter("conv_id is null").select("conv_id", F.lit(1).alias("k"), *salted, _rendered(F.col("role"), F.col("text")).alias("rendered"))
+    lone = lone.select("conv_id", "k", *(h.alias(n) for h, n in zip(prefix, ("h1", "h2"), strict=True)), "rendered")
+    ends = rolling.filter("last").select("conv_id", "k", "h1", "h2", F.lit(None).cast("string").alias("rendered")).unionAll(lone.select("conv_id", "k", "h1", "h2", "rendered"))
+    ends = ends.groupBy("h1", "h2", "k").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"), F.max("rendered").alias("rendered"))
     inner = rolling.filter("not last").select("h1", "h2", "k").distinct()
-    return ends.join(inner, ["h1", "h2", "k"], "left_anti").select("conv_id", F.col("k").cast("long").alias("n_turns"), "n_copies")
+    rendered = F.when(F.col("conv_id").isNull(), F.col("rendered"))
+    return ends.join(inner, ["h1", "h2", "k"], "left_anti").select("conv_id", F.col("k").cast("long").alias("n_turns"), "n_copies", rendered.alias("rendered"))
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -54,7 +62,7 @@ def render(turns: DataFrame) -> DataFrame:
     are rendered once.  A conversation is one row in the end, so one task holds it.
     """
     turn = F.struct("turn", "role", "text")
-    parts = F.transform(F.sort_array(F.collect_set(turn)), lambda t: F.concat(F.lit("<|"), _role(t["role"]), F.lit("|>\n"), F.coalesce(t["text"], F.lit("")), F.lit(CLOSE)))
+    parts = F.transform(F.sort_array(F.collect_set(turn)), lambda t: _rendered(t["role"], t["text"]))
     return turns.groupBy("conv_id").agg(F.array_join(parts, "").alias("rendered"))
 
 
@@ -65,21 +73,26 @@ def format_chats(turns: DataFrame) -> DataFrame:
     :func:`render`.  Other columns are ignored, an empty table gives no rows.
     """
     own = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    kept = collapse(own).select(F.col("conv_id").alias("kept_id"), "n_turns", "n_copies")
-    mine = own.join(kept.select("kept_id"), F.col("conv_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return render(mine).join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).select("conv_id", "n_turns", "n_copies", "rendered")
+    kept = save(collapse(own), "maximal")
+    named = kept.filter("conv_id is not null").drop("rendered")
+    mine = own.join(named.select("conv_id"), "conv_id", "left_semi")
+    told = render(mine).join(named, "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
+    return told.unionAll(kept.filter("conv_id is null"))
 
 
 #: The same in DuckDB: prefixes are compared as whole strings.
 ORACLE = """
 WITH t AS (
-  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k
-  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+  SELECT key, conv_id, role, text, row_number() OVER (PARTITION BY key ORDER BY turn) AS k
+  FROM (
+    SELECT DISTINCT CAST(conv_id AS VARCHAR) AS key, conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+    UNION ALL SELECT 'row ' || row_number() OVER (), conv_id, turn, role, text FROM conversations WHERE conv_id IS NULL
+  )
 ), p AS (
-  SELECT conv_id, k,
+  SELECT key, conv_id, k,
     string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '')
-      OVER (PARTITION BY conv_id ORDER BY k) AS prefix,
-    k = max(k) OVER (PARTITION BY conv_id) AS last
+      OVER (PARTITION BY key ORDER BY k) AS prefix,
+    k = max(k) OVER (PARTITION BY key) AS last
   FROM t
 ), e AS (
   SELECT min(conv_id) AS conv_id, k AS n_turns, count(*) AS n_copies, prefix AS rendered FROM p WHERE last GROUP BY prefix, k

@@ -41,8 +41,22 @@ def test_oracle(spark, data):
 
 
 def test_awkward(spark):
-    rows = [(None, 0, "user", "x"), (None, 1, "user", "y"), (1, 0, "user", "x"), (1, 0, "user", "x"), (2, None, None, None), (3, 0, "user", "long " * 20_000), (4, 0, "a", "tie"), (4, 0, "b", "tie")]
+    rows = [(None, 0, "user", "x"), (None, 1, "user", "y"), (None, 5, "user", "y"), (None, 0, None, None), (1, 0, "user", "x"), (1, 0, "user", "x"), (2, None, None, None), (3, 0, "user", "long " * 20_000), (4, 0, "a", "tie"), (4, 0, "b", "tie")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS k", "'x' AS a", "'y' AS h1", "2 AS n_turns", "'q' AS rendered")
-    got = {r["conv_id"]: r["n_turns"] for r in chat.format_chats(df).collect()}
-    assert got == {None: 2, 2: 1, 3: 1, 4: 2}
+    got = sorted((r["conv_id"] or 0, r["n_turns"], r["n_copies"], r["rendered"][:12]) for r in chat.format_chats(df).collect())
+    assert got == [(0, 1, 2, "<|user|>\ny\n<"), (1, 1, 2, "<|user|>\nx\n<"), (2, 1, 2, "<|unknown|>\n"), (3, 1, 1, "<|user|>\nlon"), (4, 2, 1, got[-1][3])]
+
+
+def test_the_two_hashes_are_no_function_of_one_another(spark):
+    """A hash of a hash would be 64 bits told twice."""
+    from pyspark.sql import functions as F
+
+    one = spark.range(1).select(F.xxhash64(F.lit(1), F.lit("x")).alias("a"), F.xxhash64(F.lit("x")).alias("h"))
+    assert one.filter(F.col("a") == F.xxhash64(F.lit("x"), F.lit(1))).count() == 0
+    plan = chat.collapse(turns(spark, [(1, [("user", "x")])]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(1, " in plan and "xxhash64(2, " in plan
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_chats(df.limit(0)).collect() == []
