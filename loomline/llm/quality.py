@@ -1,8 +1,9 @@
 """Quality rules: fixed base rules and a calibrated hashed n-gram classifier.
 
-The classifier is a logistic regression over hashed word 1- and 2-grams and byte
-2- and 4-grams, learned from a bounded sample of labelled rows and calibrated on a part
-of it that it did not see.  Scoring needs the weights alone: one Arrow pass.
+The classifier is a logistic regression over hashed word 1- and 2-grams and
+character (code point) 2- and 4-grams, learned from a bounded sample of labelled rows
+and calibrated on a part of it that it did not see.  Scoring needs the weights alone:
+one Arrow pass.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ _NEWLINE[10] = True
 #: Start of a code point: any byte but the continuations of UTF-8.
 _POINT = np.ones(256, np.int64)
 _POINT[128:192] = 0
+#: Multiplier of a character's place in its n-gram: odd, and beyond any code point.
+_CHAR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -107,15 +110,17 @@ class Block:
         yield (self.hash >> shift).astype(np.int64), self.words.first
         two, bounds = at.windows(self.hash, self.words.first, 2)
         yield (two >> shift).astype(np.int64) + (1 << bits), bounds
-        d, size = self.data.astype(np.uint32), np.diff(self.offsets)
+        chars = np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+        at_ = np.concatenate([[0], np.cumsum(_POINT[self.data])])[self.offsets]
         for family, k in enumerate(CHARS, 2):
-            n = np.maximum(size - k + 1, 0)
-            code = np.zeros(max(len(d) - k + 1, 0), np.uint32)
+            n = np.maximum(np.diff(at_) - k + 1, 0)
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            code = np.zeros(max(len(chars) - k + 1, 0), np.uint64)
             for i in range(k):
-                code |= d[i : len(code) + i] << np.uint32(8 * i)
-            starts = np.arange(int(n.sum())) + np.repeat(self.offsets[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            h = (code[starts] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-            yield h.astype(np.int64) + (family << bits), np.concatenate([[0], np.cumsum(n)])
+                code = code * _CHAR + chars[i : len(code) + i]
+            if len(n) > 1:  # grams that end in another text go
+                code = np.concatenate([code[a : a + m] for a, m in zip(at_[:-1], n, strict=True)])
+            yield ((code * at.WINDOW[k]) >> shift).astype(np.int64) + (family << bits), bounds
 
 
 @dataclass
@@ -165,7 +170,11 @@ def _fit(keys: np.ndarray, values: np.ndarray, rows: np.ndarray, y: np.ndarray,
 
 
 def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt scaling with smoothed targets, by Newton steps."""
+    """Platt scaling with smoothed targets, by Newton steps.
+
+    The margin stays as it is, slope 1 and shift 0, where the calibration part lacks a
+    class or would turn the margin round.
+    """
     good, bad = y.sum(), (1 - y).sum()
     if not good or not bad:
         return 1.0, 0.0
@@ -226,7 +235,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, probability``.  Null and empty texts have no words and fail.
     Where labels do not hold both classes there is no model: the probability is
-    null and the base rules decide.  Labels of one doc_id that differ count as bad;
+    null and the base rules decide.  Where the part of them that calibrates lacks a
+    class, or contradicts the margin, the probability is the uncalibrated one.  Labels of one doc_id that differ count as bad;
     repeated documents give their own rows, those without an id a null doc_id;
     other columns are ignored; an empty table gives an empty result.
     """

@@ -44,6 +44,47 @@ def test_held_out(spark):
     assert sum(judged) >= 0.95 * len(judged)
 
 
+def test_character_grams():
+    """Grams are of code points, inside a text; equal ones share a bucket, and each is counted."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["日本日本", "é", "", None, "abcab日", "x日本y"]
+    families = list(quality.Block.of(pa.array(texts, pa.string())).features())
+    for family, k in zip(families[2:], quality.CHARS, strict=True):
+        bucket, bounds = family
+        grams = [[(t or "")[i : i + k] for i in range(len(t or "") - k + 1)] for t in texts]
+        assert np.diff(bounds).tolist() == list(map(len, grams))
+        flat = [g for own in grams for g in own]
+        told = dict(zip(flat, bucket.tolist(), strict=True))
+        assert [told[g] for g in flat] == bucket.tolist() and len(set(told.values())) == len(told)
+
+
+def test_calibration_that_cannot_be():
+    import numpy as np
+
+    margin = np.array([-2.0, -1.0, 1.0, 2.0])
+    assert quality._calibrate(margin, np.ones(4)) == (1.0, 0.0)
+    assert quality._calibrate(margin, np.array([1.0, 1.0, 0.0, 0.0])) == (1.0, 0.0)
+    assert quality._calibrate(margin, np.array([0.0, 0.0, 1.0, 1.0]))[0] > 0
+
+
+def test_probability_is_that_of_plain_sums(spark, data):
+    """Scores of whole blocks against a sum over the n-grams of one text after the other."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.normal(size=quality.FAMILIES << quality.BITS), 0.3, 1.5, -0.2)
+    texts = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").limit(40).collect()] + ["", None, "日本 é"]
+    block = model.probability(quality.Block.of(pa.array(texts, pa.string())))
+    for text, p in zip(texts, block, strict=True):
+        margin = model.bias
+        for bucket, _ in quality.Block.of(pa.array([text], pa.string())).features():
+            margin += sum(model.weights[b] for b in bucket.tolist()) / max(len(bucket), 1)
+        assert abs(p - 1 / (1 + np.exp(-(1.5 * margin - 0.2)))) < 1e-6
+
+
 def test_awkward(spark, awkward, empty, labels):
     repeated = "a b c " * 40 + "\n" + "same line of text\n" * 3 + "\r\n  \n"
     extra = awkward.limit(1).selectExpr(*[f"'{repeated}' AS text" if c == "text" else "99L AS doc_id" if c == "doc_id" else c for c in awkward.columns])
