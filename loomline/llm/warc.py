@@ -1,10 +1,12 @@
 """Deterministic sharded WARC archives: write, commit, read back.
 
-Records are dealt to shards by exact ranges of page_id (the bounds come from a
-histogram of bytes, not from a sample), sorted, and rolled into files by
-compressed size.  An executor writes each file under a temporary name and renames
-it when it is complete; the manifest that the driver writes last commits the
-archive, and readers follow the manifest only.
+Records are dealt to shards by exact ranges of page_id and, within one page_id, of a
+hash of the rest: a shard ends where the prefix sum of payload bytes passes a multiple
+of its size, so neither outlying nor hot ids make shards uneven.  A task sorts one
+shard and rolls it into files by compressed size.  An executor writes each file under
+a temporary name and renames it when it is complete.  Executors write the list of
+files too; a small manifest that the driver writes last names that list and commits
+the archive, and readers follow the manifest only.
 """
 
 from __future__ import annotations
@@ -16,19 +18,23 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import new_folder
+from .shared import drop, new_folder, save
 
 #: Payloads of fewer bytes are never told as revisits.
 LEAST_REVISIT = 100
 #: Payload bytes of a shard, and compressed bytes after which a file is closed.
-SHARD_BYTES, FILE_BYTES = 64 << 20, 32 << 20
-#: Cells of the histogram for each shard.
-CELLS = 64
+SHARD_BYTES, FILE_BYTES = 32 << 20, 32 << 20
+#: Shards are larger where there would be more of them: their bounds, 16 bytes each, are broadcast.
+MOST_SHARDS = 1 << 20
 SALTS = 32
+#: Stands for no page_id where shards are bounded.
+NO_ID = -(1 << 63)
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "MANIFEST.json"
@@ -39,7 +45,11 @@ def filesystem(uri: str):
     """A pyarrow filesystem and the path in it, for any scheme that it knows."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+    return fs.FileSystem.from_uri(_uri(uri))
+
+
+def _uri(path: str) -> str:
+    return path if "://" in path or path.startswith("file:") else "file://" + path
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -101,8 +111,10 @@ def _writer(root: str, most: int):
 
         shard, number, told_of = None, 0, None
         for batch in batches:
+            plain = {name: batch.column(name).to_pylist() for name in batch.schema.names if name != "html"}
+            payload = batch.column("html").cast(pa.binary())
             for row in range(batch.num_rows):
-                x = {name: batch.column(k)[row].as_py() for k, name in enumerate(batch.schema.names)}
+                x = {name: values[row] for name, values in plain.items()}
                 page = (x["page_id"], x["url"], x["digest"])
                 if x["first_id"] is not None:  # what the next rows of this page refer to
                     told_of, first_id = page, x["first_id"]
@@ -118,7 +130,7 @@ def _writer(root: str, most: int):
                     name = f"shard-{shard:06d}-{number:04d}.warc.gz"
                     temp = f"{base}/_temporary-{uuid.uuid4().hex}"
                     out = {"name": name, "temp": temp, "stream": store.open_output_stream(temp, compression=None), "n": 0, "bytes": 0, "hash": hashlib.sha256()}
-                packed = record(x["page_id"], x["url"], (x["html"] or "").encode(), x["digest"], first_id if revisit else None, revisit)
+                packed = record(x["page_id"], x["url"], payload[row].as_py() or b"", x["digest"], first_id if revisit else None, revisit)
                 out["stream"].write(packed)
                 out["hash"].update(packed)
                 out["n"] += 1
@@ -129,25 +141,56 @@ def _writer(root: str, most: int):
     return run
 
 
-def _shards(pages: DataFrame, most: int) -> list[int]:
-    """Ends (exclusive) of ranges of page_id with about ``most`` payload bytes each.
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payload bytes before each row of a task, and the task's number."""
+    from pyspark import TaskContext
+
+    task, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        size = batch.column("payload_bytes").to_numpy()
+        upto = before + np.cumsum(size)
+        columns = [pa.array(np.full(len(size), task)), batch.column("page_id"), batch.column("spread"), pa.array(upto - size), pa.array(upto)]
+        yield pa.RecordBatch.from_arrays(columns, names=["task", "page_id", "spread", "before", "upto"])
+        before = int(upto[-1]) if len(upto) else before
+
 
-    Exact: bytes are summed in cells of equal width, of which there are ``CELLS``
-    for each shard, and cells are joined in order.
+def _shards(keys: DataFrame, most: int) -> np.ndarray:
+    """The least (page_id, spread) of each shard of about ``most`` payload bytes, in order.
+
+    Exact prefix sums in two levels: within sorted ranges, whose bounds do not matter,
+    and over the ranges' totals, of which the driver gets one row each.
     """
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).first()
-    n = max(1, -(-(total or 0) // most))
-    if low is None or n == 1 or low == high:
-        return []
-    width = max(1, (high - low) // (n * CELLS) + 1)
-    cells = pages.filter("page_id is not null").groupBy(F.expr(f"(page_id - {low}) div {width}").alias("cell")).agg(F.sum("payload_bytes").alias("bytes")).orderBy("cell").collect()
-    ends, held = [], 0
-    for c in cells:
-        held += c["bytes"]
-        if held >= most:
-            ends.append(low + (c["cell"] + 1) * width)
-            held = 0
-    return ends
+    total = keys.agg(F.sum("payload_bytes")).first()[0] or 0
+    most = max(most, -(-total // MOST_SHARDS))
+    if total <= most:
+        return np.zeros((0, 2), np.int64)
+    ranges = keys.repartitionByRange("page_id", "spread").sortWithinPartitions("page_id", "spread")
+    sums = save(ranges.mapInArrow(_running, "task long, page_id long, spread long, before long, upto long"), "prefix")
+    tasks = sorted((r["task"], r["bytes"]) for r in sums.groupBy("task").agg(F.max("upto").alias("bytes")).collect())
+    offsets = np.concatenate([[0], np.cumsum([b for _, b in tasks])]).tolist()
+    offset = sums.sparkSession.createDataFrame([(t, o) for (t, _), o in zip(tasks, offsets, strict=False)], "task long, offset long")
+    shard = sums.join(F.broadcast(offset), "task").groupBy(F.expr(f"(offset + before) div {most}").alias("shard"))
+    rows = shard.agg(F.min(F.struct("page_id", "spread")).alias("least")).select("shard", "least.*").toPandas().sort_values("shard")
+    drop(sums)
+    return rows[["page_id", "spread"]].to_numpy(np.int64)
+
+
+def _dealt(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """``rows`` with the number of their shard."""
+    broadcast = rows.sparkSession.sparkContext.broadcast(bounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, spreads = np.ascontiguousarray(broadcast.value.T)
+        for batch in batches:
+            page, spread = batch.column("page_id").fill_null(NO_ID).to_numpy(), batch.column("spread").to_numpy()
+            lo, hi = np.searchsorted(ids, page), np.searchsorted(ids, page, "right")
+            place = lo.copy()
+            for at in np.unique(lo[lo < hi]):  # pages that a shard begins with
+                own = (lo == at) & (lo < hi)
+                place[own] = at + np.searchsorted(spreads[at : hi[own][0]], spread[own], "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.maximum(place - 1, 0))], names=[*batch.schema.names, "shard"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("shard", T.LongType())]))
 
 
 def write(pages: DataFrame, root: str | None = None, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> str:
@@ -156,8 +199,9 @@ def write(pages: DataFrame, root: str | None = None, shard_bytes: int = SHARD_BY
     Equal payloads of ``LEAST_REVISIT`` bytes or more: the rows with the smallest
     page_id are responses, the others revisits of it; rows without a page_id
     revisit it too, and where none has one all are responses.  A null html is an
-    empty payload.  Rows without a page_id go to the first shard.  Running it
-    again gives the same files; an unfinished run has no manifest.
+    empty payload.  Rows without a page_id come first.  Rows that repeat wholly share
+    a shard.  Running it again gives the same files; an unfinished run has no manifest.
+    It runs jobs: the archive stands when it returns.
     """
     spark = pages.sparkSession
     root = root or new_folder(spark, "warc")
@@ -169,23 +213,26 @@ def write(pages: DataFrame, root: str | None = None, shard_bytes: int = SHARD_BY
     groups = groups.select("digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     keys = own.select("page_id", "url", "digest", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
     refers = keys.join(groups, ["digest", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "url", "digest", "first_id").distinct()
-    ends = _shards(own, shard_bytes)
-    shard = F.size(F.filter(F.lit(ends), lambda e: e <= F.col("page_id"))) if ends else F.lit(0)
+    own = own.withColumn("spread", F.xxhash64("url", "digest"))
+    bounds = _shards(own.select(F.coalesce("page_id", F.lit(NO_ID)).alias("page_id"), "spread", "payload_bytes"), shard_bytes)
     none = F.lit(None)
-    rows = own.select("page_id", "url", "html", "digest", none.cast("long").alias("first_id")).unionAll(refers.select("page_id", "url", none.cast("string"), "digest", "first_id"))
-    dealt = rows.withColumn("shard", F.coalesce(shard, F.lit(0))).repartition(len(ends) + 1, "shard")
-    dealt = dealt.sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "url", "digest", F.asc_nulls_last("first_id"))
+    rows = own.select("page_id", "url", "html", "digest", none.cast("long").alias("first_id"), "spread")
+    rows = rows.unionAll(refers.select("page_id", "url", none.cast("string"), "digest", "first_id", F.xxhash64("url", "digest")))
+    dealt = _dealt(rows, bounds).repartitionById(max(1, len(bounds)), F.col("shard").cast("int"))
+    dealt = dealt.sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "spread", "url", "digest", F.asc_nulls_last("first_id"))
     store, base = filesystem(root)
     store.create_dir(base, recursive=True)
-    files = dealt.mapInArrow(_writer(root, file_bytes), "file string, n_records long, bytes long, sha256 string")
-    entries = sorted(files.collect())  # a row a file
-    body = json.dumps({"version": 1, "files": [r.asDict() for r in entries]}, indent=1).encode()
+    name = f"files-{uuid.uuid4().hex}"
+    dealt.mapInArrow(_writer(root, file_bytes), _FILES).write.parquet(f"{_uri(root)}/{name}")
+    told = spark.read.schema(_FILES).parquet(f"{_uri(root)}/{name}").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n_records"), F.lit(0)).alias("n_records"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    body = json.dumps({"version": 2, "files": name, **told.asDict()}, indent=1).encode()
     with store.open_output_stream(f"{base}/_{MANIFEST}", compression=None) as f:
         f.write(body)
     store.move(f"{base}/_{MANIFEST}", f"{base}/{MANIFEST}")
     return root
 
 
+_FILES = "file string, n_records long, bytes long, sha256 string"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string"
 
 
@@ -221,13 +268,19 @@ def _reader(root: str):
     return run
 
 
-def read(spark: SparkSession, root: str) -> DataFrame:
-    """The records of a committed archive, one row each, digests verified."""
+def files(spark: SparkSession, root: str) -> DataFrame:
+    """The files of a committed archive: ``file, n_records, bytes, sha256``."""
     store, base = filesystem(root)
     with store.open_input_stream(f"{base}/{MANIFEST}", compression=None) as f:
-        files = [(x["file"],) for x in json.loads(f.read())["files"]]
-    names = spark.createDataFrame(files, "file string")
-    return names.repartition(max(1, min(len(files), 10_000)), "file").mapInArrow(_reader(root), _READ)
+        name = json.loads(f.read())["files"]
+    return spark.read.schema(_FILES).parquet(f"{_uri(root)}/{name}")
+
+
+def read(spark: SparkSession, root: str) -> DataFrame:
+    """The records of a committed archive, one row each, digests verified."""
+    names = files(spark, root).select("file")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return names.repartition(tasks, "file").mapInArrow(_reader(root), _READ)
 
 
 def round_trip(pages: DataFrame, root: str | None = None) -> DataFrame:

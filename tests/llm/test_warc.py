@@ -52,17 +52,32 @@ def test_deterministic_shards(spark, tmp_path):
     seen = []
     for k, df in enumerate((pages(spark, rows), pages(spark, rows[::-1]).repartition(7))):
         root = warc.write(df, f"file://{tmp_path}/{k}", shard_bytes=4000, file_bytes=1500)
-        entries = json.loads((tmp_path / str(k) / warc.MANIFEST).read_text())["files"]
+        entries = sorted(tuple(r) for r in warc.files(spark, root).collect())
+        told = json.loads((tmp_path / str(k) / warc.MANIFEST).read_text())
+        assert (told["n_files"], told["n_records"], told["bytes"]) == (len(entries), len(rows), sum(e[2] for e in entries))
         assert rows_of(warc.read(spark, root)) == expected(rows)
         assert not list((tmp_path / str(k)).glob("_temporary*"))
         seen.append(entries)
     assert seen[0] == seen[1] and len(seen[0]) > 8
-    assert len({e["file"].split("-")[1] for e in seen[0]}) > 3 and any(e["file"].endswith("0001.warc.gz") for e in seen[0])
+    assert len({e[0].split("-")[1] for e in seen[0]}) > 3 and any(e[0].endswith("0001.warc.gz") for e in seen[0])
+
+
+def test_even_shards(spark, tmp_path):
+    """One id far from all others, one with a third of all rows, and a third without any."""
+    rows = [(i, f"u{i}", f"{i} " * 60) for i in range(200)] + [(1 << 40, "far", "x" * 300)]
+    rows += [(77, f"hot{i}", f"{i}h" * 60) for i in range(200)] + [(None, f"none{i}", f"{i}n" * 60) for i in range(200)]
+    total = sum(len(h) for _, _, h in rows)
+    root = warc.write(pages(spark, rows), f"file://{tmp_path}/w", shard_bytes=total // 20)
+    shards = defaultdict(int)
+    for r in warc.files(spark, root).collect():
+        shards[r["file"].split("-")[1]] += r["n_records"]
+    assert sum(shards.values()) == len(rows) and len(shards) >= 19 and max(shards.values()) <= 2 * len(rows) / 20
+    assert rows_of(warc.read(spark, root)) == expected(rows)
 
 
 def test_records_are_members(spark, tmp_path):
     warc.write(pages(spark, [(1, "http://a/", "x" * 50), (2, "http://b/", "y")]), f"file://{tmp_path}/w")
-    (entry,) = json.loads((tmp_path / "w" / warc.MANIFEST).read_text())["files"]
+    (entry,) = warc.files(spark, f"file://{tmp_path}/w").collect()
     data = (tmp_path / "w" / entry["file"]).read_bytes()
     first = zlib.decompressobj(31)
     text = first.decompress(data)
