@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,13 @@ from . import arrowtext as at
 SEED = 3
 #: A 3-gram whose words would meet by chance less often than this is rare.
 RARE = 1e-9
-#: So many of an item's rarest 3-grams are seeds in any case.
+#: So many of an item's rarest 3-grams are seeds in any case, and the rarest of each stretch.
 LEAST_SEEDS = 8
+STRETCH = 10
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Of the score of the whole item, verbatim.
+#: Of the score of the whole item, verbatim; or the score of a verbatim passage of 13 words.
 SIMILARITY = 0.5
+PASSAGE = 13 * MATCH
 #: Text of test items that goes to executors at once; more items take more passes.
 BLOCK = 8 << 20
 
@@ -66,26 +69,33 @@ class Items:
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """The best local alignment: score, matched words, and its span in ``text``."""
-    ramp = np.arange(len(text) + 1) * -GAP
-    table = np.zeros((len(item) + 1, len(text) + 1), np.int32)
-    for i, word in enumerate(item, 1):
-        row = table[i]
-        np.maximum(table[i - 1, :-1] + np.where(text == word, MATCH, MISMATCH), table[i - 1, 1:] + GAP, out=row[1:])
-        np.maximum(row, 0, out=row)
-        np.subtract(np.maximum.accumulate(row + ramp), ramp, out=row)
-    i, j = (int(x) for x in np.unravel_index(table.argmax(), table.shape))
-    score, end, matched = int(table[i, j]), j, 0
-    while i and j and table[i, j] > 0:
-        same = item[i - 1] == text[j - 1]
-        if table[i, j] == table[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matched += bool(same)
-            i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, matched, j, end
+    """The best local alignment: score, matched words, and its span in ``text``.
+
+    One row of the table at a time, with where each path began and how many words it
+    matched, so memory is a few rows of ``text`` however long both are.
+    """
+    n = len(text)
+    places = np.arange(n + 1)
+    score, begin, matched = np.zeros(n + 1, np.int64), places.copy(), np.zeros(n + 1, np.int64)
+    best = (0, 0, 0, 0)
+    for word in item:
+        same = text == word
+        diagonal, down = score[:-1] + np.where(same, MATCH, MISMATCH), score[1:] + GAP
+        row, from_, hits = np.zeros(n + 1, np.int64), places.copy(), np.zeros(n + 1, np.int64)
+        row[1:] = np.maximum(np.maximum(diagonal, down), 0)
+        goes = np.flatnonzero(row[1:] > 0)  # a path at 0 begins anew
+        across = diagonal[goes] >= down[goes]
+        source = goes + ~across  # the place before in the row above, or the same
+        from_[goes + 1], hits[goes + 1] = begin[source], matched[source] + (across & same[goes])
+        # Gaps in the item: the best of all places to the left, less what the gap costs.
+        ramp = row - places * GAP
+        upto = np.maximum.accumulate(ramp)
+        source = np.maximum.accumulate(np.where(ramp == upto, places, 0))
+        score, begin, matched = upto + places * GAP, from_[source], hits[source]
+        j = int(score.argmax())
+        if score[j] > best[0]:
+            best = int(score[j]), int(matched[j]), int(begin[j]), j
+    return best
 
 
 def leaks(items: Items, word: np.ndarray, first: np.ndarray, similarity: float) -> Iterator[tuple]:
@@ -109,7 +119,7 @@ def leaks(items: Items, word: np.ndarray, first: np.ndarray, similarity: float)
         lo, hi = max(0, int(begin[a]) - n // 2), min(len(own), int(begin[b - 1]) + n + n // 2)
         score, matched, start, end = align(items.words[k], own[lo:hi])
         share = score / (MATCH * n)
-        if share >= similarity and (best.get((d, k)) is None or best[d, k][3] < score):
+        if (share >= similarity or score >= PASSAGE) and (best.get((d, k)) is None or best[d, k][3] < score):
             best[d, k] = (d, k, b - a, score, share, matched, lo + start, lo + end)
     yield from best.values()
 
@@ -160,7 +170,8 @@ def _items(docs: DataFrame, ids: list, column: pa.Array) -> Items:
         if not n:
             continue
         chance = sum(own_log[j : j + n] for j in range(SEED))
-        rare = np.union1d(np.flatnonzero(chance <= np.log(RARE)), np.argsort(chance, kind="stable")[:LEAST_SEEDS])
+        spread = [at_ + int(chance[at_ : at_ + STRETCH].argmin()) for at_ in range(0, n, STRETCH)]
+        rare = reduce(np.union1d, (np.flatnonzero(chance <= np.log(RARE)), np.argsort(chance, kind="stable")[:LEAST_SEEDS], np.array(spread, np.int64)))
         seeds.append(gram[bounds[k] + rare])
         own.append(np.full(len(rare), k))
         places.append(rare)
@@ -181,10 +192,12 @@ _LEAKS = "n_seeds long, score long, similarity double, n_matched long, start_wor
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Test items of ``benchmark(item_id, text)`` found in ``docs(doc_id, text, ...)``.
 
-    One row for each row of ``docs`` and item that align: ``doc_id, item_id,
-    n_seeds, score, similarity`` (of the score of the whole item), ``n_matched``
-    words, ``start_word`` and ``end_word`` in the text; the best place counts.
-    Two map passes over the texts for each 8 MB of items, and no shuffle of texts.
+    One row for each row of ``docs`` and item that align, by ``similarity`` or by a
+    passage of :data:`PASSAGE`: ``doc_id, item_id, n_seeds, score, similarity`` (of
+    the score of the whole item), ``n_matched`` words, ``start_word`` and ``end_word``
+    in the text; the best place counts.  Two map passes over the texts for each 8 MB
+    of items, and no shuffle of texts.  An alignment holds a few rows of its window,
+    also where hits follow each other through a very long text.
 
     Null texts hold nothing; items that are null or of fewer than three words are
     no evidence and match nothing; equal items all match; repeated rows give their
@@ -213,7 +226,11 @@ _ARROW = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string(), "dou
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the rows that hold a test item, all columns as they are."""
+    """``docs`` without the rows that hold a test item, all columns as they are.
+
+    See :func:`find_leaks`: null texts hold nothing and stay, rows that repeat stay
+    or go each, an empty table stays empty.
+    """
     texts = _texts(docs)
     for ids, column in _blocks(benchmark):
         broadcast = docs.sparkSession.sparkContext.broadcast(_items(texts, ids, column))

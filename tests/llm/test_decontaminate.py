@@ -26,6 +26,50 @@ def test_alignment():
         assert score == textbook(a, b) and 0 <= matched <= min(len(a), end - start) and score <= D.MATCH * matched
 
 
+def test_alignment_tells_its_span():
+    item, text = np.arange(10), np.concatenate([[50, 51], [0, 1, 2, 99, 4, 5, 6, 8, 9], [60]])
+    score, matched, start, end = D.align(item, text)
+    assert (matched, start, end) == (8, 2, 11) and score == 8 * D.MATCH + D.MISMATCH + D.GAP
+
+
+def test_long_texts_take_little_memory():
+    """An item that repeats through a text of 400,000 words: the whole table would take 160 MB."""
+    import tracemalloc
+
+    item = np.arange(100)
+    text = np.tile(np.concatenate([np.arange(50), [999] * 3]), 7600)
+    tracemalloc.start()
+    D.align(item, text)
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.stop()
+
+
+def test_brute_force(spark):
+    """All pairs of 100 texts and 10 items, each aligned over the whole text by the textbook."""
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(150)]
+    items = [[rng.choice(common) if rng.random() < 0.8 else f"r{rng.randrange(5000)}" for _ in range(rng.randrange(8, 60))] for _ in range(10)]
+    texts = []
+    for k in range(100):
+        words = [rng.choice(common) for _ in range(rng.randrange(20, 90))]
+        own = items[k % 10]
+        if k % 4 == 1:
+            words[10:10] = edited(rng, " ".join(own), rng.choice([0, 0.15, 0.3])).split()
+        elif k % 4 == 2:  # a part of an item
+            n = rng.randrange(4, len(own) + 1)
+            words[5:5] = own[len(own) - n :]
+        texts.append(words)
+    expected = set()
+    for d, words in enumerate(texts):
+        for k, item in enumerate(items):
+            score = textbook(item, words)
+            if score >= D.SIMILARITY * D.MATCH * len(item) or score >= D.PASSAGE:
+                expected.add((d, k, score))
+    docs = spark.createDataFrame([(d, " ".join(w), None, None, 0) for d, w in enumerate(texts)], SCHEMA)
+    got = {(r["doc_id"], r["item_id"], r["score"]) for r in D.find_leaks(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()}
+    assert got == expected and len(got) > 30
+
+
 def edited(rng, text, share):
     out = []
     for w in text.split():
@@ -57,7 +101,7 @@ def test_planted(spark):
     docs, items, planted = cases(spark)
     rows = D.find_leaks(docs, items).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == planted and len(rows) == len(planted)
-    assert all(D.SIMILARITY <= r["similarity"] <= 1 for r in rows)
+    assert all((D.SIMILARITY <= r["similarity"] or r["score"] >= D.PASSAGE) and r["similarity"] <= 1 for r in rows)
     kept = {r["doc_id"] for r in D.drop_leaks(docs, items).collect()}
     assert kept == set(range(docs.count())) - {d for d, _ in planted}
 
