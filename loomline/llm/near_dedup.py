@@ -11,7 +11,9 @@ that is near the original.  Only buckets whose members still lie in different
 components go on.  There, blocks of the members outside the pivot's component are
 held against all of the bucket's rows, whole set by whole set inside one row, and
 only links leave the comparison.  Every member outside is in one block, so in the
-end every pair across components has been compared.
+end every pair across components has been compared, also those that the signatures
+put off.  Rounds take one block, two, four and so on of every bucket: what a round
+links need not be compared in the next, and rounds are few.
 """
 
 from __future__ import annotations
@@ -125,17 +127,19 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, similarity:
     return pairs.filter(100 * both >= similarity * (F.size("set_a") + F.size("set_b") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
-def _across(rows: DataFrame, sets: DataFrame, block: int, similarity: int) -> DataFrame:
-    """Links between one block of the members outside and all rows of open buckets.
+def _across(rows: DataFrame, sets: DataFrame, first: int, upto: int, similarity: int) -> DataFrame:
+    """Links between some blocks of the members outside and all rows of open buckets.
 
     ``rows``: (bucket, node, component, anchor, blocks), ``sets``: (node, bands,
     shingles).  A pair is compared in the first bucket that it shares, which needs
     no step to remove repeated pairs.
     """
-    own = (F.col("component") != F.col("anchor")) & (F.pmod(F.xxhash64("node"), F.col("blocks")) == block)
-    chosen = rows.filter(own).select("bucket", "node", "component").join(sets, "node")
-    chosen = chosen.groupBy("bucket").agg(F.collect_list(F.struct("node", "component", "bands", "shingles")).alias("outside"), F.min("node").alias("first"))
-    held = rows.select("bucket", "node", "component").join(sets, "node").join(_dealt(chosen, "first", "bucket"), "bucket")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    own = rows.filter((F.col("component") != F.col("anchor")) & (block >= first) & (block < upto)).select("bucket", block.alias("block"), "node", "component")
+    chosen = own.join(sets, "node").groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "component", "bands", "shingles")).alias("outside"), F.min("node").alias("first"))
+    if first:  # buckets without members outside any more go
+        rows = rows.join(own.select("bucket").distinct(), "bucket", "left_semi")
+    held = rows.select("bucket", "node", "component").join(sets, "node").join(_dealt(chosen, "first", "bucket", "block"), "bucket")
 
     def linked(p):
         first = F.get(F.filter(F.arrays_zip(F.col("bands").alias("x"), p["bands"].alias("y")), lambda z: z["x"] == z["y"]), 0)["x"]
@@ -153,7 +157,22 @@ def _merged(label: DataFrame, found: DataFrame) -> DataFrame:
         found = found.join(label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side)
     moved = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
     moved = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return save(label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+    merged = save(label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+    drop(label)
+    return merged
+
+
+def _one_a_document(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """``rows(doc_id, component_id, ...)`` with the components of a doc_id that has several sets as one."""
+    least, most = (f(F.struct(*key)).alias(n) for f, n in ((F.min, "least"), (F.max, "most")))
+    several = save(keys.filter("doc_id is not null").groupBy("doc_id").agg(least, most).filter("least <> most").select("doc_id"), "several")
+    if several.isEmpty():
+        drop(several)
+        return rows
+    held = rows.join(several, "doc_id", "left_semi").select("doc_id", "component_id").distinct()
+    links = held.join(held.groupBy("doc_id").agg(F.min("component_id").alias("u")), "doc_id").select("u", F.col("component_id").alias("v"))
+    moved = components(links).select(F.col("node").alias("component_id"), F.col("component").alias("_to"))
+    return rows.join(_dealt(moved, "_to", "component_id"), "component_id", "left").withColumn("component_id", F.coalesce("_to", "component_id")).drop("_to")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -165,8 +184,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int =
 
     Words are runs without ASCII white space, A-Z lowered; a text of fewer than
     five words is one shingle; a text without words, or null, has an empty set
-    and stands alone.  Rows that share a doc_id are one document.  Rows with a
-    null doc_id take the component of their class; where the whole class has no
+    and stands alone.  Rows that share a doc_id are one document: the components of their
+    sets are one, and all carry it.  Rows with a null doc_id take the component of their class; where the whole class has no
     id they are kept with a null component.  Other columns are ignored, an empty
     table gives an empty result.
     """
@@ -207,26 +226,26 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int =
     outside = now.filter("component <> anchor").groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     left = save(now.join(_dealt(outside, "blocks", "bucket"), "bucket").select("bucket", "node", "component", "anchor", "blocks"), "open")
     drop(paired)
-    for k in range(left.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0]):
-        rows = placed(left.filter(F.col("blocks") > k).select("bucket", "node", "blocks")) if k else left
-        found = save(_across(rows, sets, k, similarity), "across")
+    most, first, width = left.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0], 0, 1
+    while first < most:
+        rows = placed(left.filter(F.col("blocks") > first).select("bucket", "node", "blocks")) if first else left
+        found = save(_across(rows, sets, first, first + width, similarity), "across")
         if not found.isEmpty():
             label = _merged(label, found)
         drop(found)
+        first, width = first + width, 2 * width
     drop(left)
     drop(sets)
+    drop(pivot)
 
     ids = classes.join(label, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("component_id"))
     out = thin.join(_dealt(ids, "node", "set_a"), key, "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("node")).alias("class_id"),
-    )
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("node")).alias("class_id"))
+    out = _one_a_document(out, thin, key)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "class_id")
 
 
 def _dealt(df: DataFrame, *columns: str) -> DataFrame:

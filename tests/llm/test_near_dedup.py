@@ -67,6 +67,24 @@ def test_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    rows = [(3, a), (7, a), (7, b), (9, b), (11, c), (12, ""), (12, c), (20, None), (None, b), (None, "v w x y z")]
+    df = spark.createDataFrame([(d, t, None, None, 0) for d, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect() if r["n_shingles"] != 1 or r["doc_id"])
+    assert got == [(0, 3, 3, False), (3, 3, 3, True), (7, 3, 3, False), (7, 3, 3, False), (9, 3, 3, False), (11, 3, 11, True), (12, 0, 11, False), (12, 3, 11, False), (20, 0, 20, True)]
+
+
+def test_blocks_in_rounds(spark, monkeypatch):
+    """Blocks of two members, so that buckets take several rounds: the same components."""
+    from loomline.llm import near_dedup
+
+    rows = corpus()
+    df = spark.createDataFrame([(d, t, None, None, 0) for d, t in rows], SCHEMA)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, bands=60, rows=2).collect()} == brute(rows)
+
+
 def test_kept(spark):
     df = spark.createDataFrame([(d, t, None, None, 0) for d, t in corpus()], SCHEMA)
     rows = near_duplicates(df).collect()
