@@ -1,8 +1,11 @@
 """Held-out accuracy, and profiles against plain Python counting."""
 
+import random
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from loomline.llm import language_id
 from tests.llm.conftest import SCHEMA
 
@@ -65,3 +68,16 @@ def test_awkward(spark, awkward, empty):
     assert language_id.identify(empty).collect() == []
     none = spark.createDataFrame([(1, "words here", None, None, 0)], SCHEMA)
     assert [(r["lang_pred"], r["score"]) for r in language_id.identify(none).collect()] == [("und", 0.0)]
+
+
+def test_the_score_decides(spark, data):
+    """Other scripts and letter noise go, short and clean texts stay: no letter filter does that."""
+    rng = random.Random(1)
+    noise = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randrange(2, 12))) for _ in range(n)) for n in (3, 20, 200)]
+    odd = ["Это предложение на другом языке.", "日本語の文章です", "Αυτό είναι ελληνικό", "1234 --", "", None, *noise]
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    more = spark.createDataFrame([(10**9 + k, t, "en", "x", 0) for k, t in enumerate(odd)], SCHEMA)
+    kept = {r["doc_id"] for r in language_id.accepted(docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).unionByName(more)).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
+    nothing = language_id.accepted(more.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(nothing) == 6
