@@ -11,54 +11,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import decontaminate, language_id, near_dedup, packing, secrets
-from loomline.llm.queries import TOKENIZERS
-from loomline.llm.shared import save
+from loomline.llm.queries import TOKENIZER
+from loomline.llm.shared import drop, save
 from loomline.plans.session import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without text or without a letter go.
+    """Documents in one of the languages that the documents at hand are labelled with.
 
-    Profiles are learned from the labels of the documents at hand, as in the
-    operator; predictions decide, labels do not.  Rows that repeat stay.
+    The nearest profile's score decides: texts far from every profile go, as do null
+    and empty texts and those without a letter.  Rows that repeat stay or go each.
     """
     ship(spark)
-    own = docs.withColumn("_held_out", language_id.held_out(F.col("doc_id")))
-    profiles = language_id.learn(own.filter(~F.col("_held_out") & F.col("doc_id").isNotNull()))
-    marked = language_id.annotate(docs, profiles, "_lang_pred", "_lang_score")
-    # Without any label nothing can be rejected but texts that have no letter.
-    rejected = F.col("_lang_pred") == language_id.UNKNOWN if profiles.langs else ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
-    return marked.filter(~rejected).select(*docs.columns)
+    return language_id.accepted(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id.
 
-    Rows that share a doc_id are one document, of which one row stays; rows
-    without a doc_id cannot be told apart from their copies and stay.
+    Rows that share a doc_id are one document, of which the row that sorts first by
+    text (null last), then by all of its columns, stays; rows without a doc_id cannot be told
+    apart from their copies and stay.  Null and empty texts are no copies.
     """
     ship(spark)
-    kept = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionAll(docs.filter("doc_id is null"))
+    kept = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    kept = save(kept, "kept")
+    out = docs.join(kept.filter("_rows = 1"), "doc_id", "left_semi").select(*docs.columns)
+    several = kept.filter("_rows > 1")
+    if several.isEmpty():
+        drop(several)
+    else:
+        row = F.struct(*docs.columns)
+        first = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text", F.to_json(row))).alias("_row"))
+        out = out.unionAll(first.select("_row.*"))
+    return out.unionAll(docs.filter("doc_id is null"))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, verbatim or edited."""
+    """Documents that hold no benchmark item, verbatim or edited, whole or a passage of 13 words.
+
+    Null and empty texts hold none; rows that repeat stay or go each.
+    """
     ship(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked in the text."""
+    """All documents, with their secrets masked in the text.
+
+    Null and empty texts stay as they are; rows that repeat stay, each masked.
+    """
     ship(spark)
     return secrets.mask_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
+    """The pieces of all documents in sequences of at most 1024 tokens; a null text is
+    its end id alone, rows that repeat are packed each."""
     ship(spark)
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(docs, TOKENIZER)
 
 
 STAGES = [
