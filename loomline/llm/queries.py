@@ -13,7 +13,6 @@ from . import chat, decontaminate, language_id, lm_score, near_dedup, packing, q
 
 #: The file of the tokenizer, a parameter of packing; it is not part of this repository.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-TOKENIZERS = TOKENIZER.rpartition("/")[0]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
