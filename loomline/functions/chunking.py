@@ -5,14 +5,17 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 
 _STRUCTURE = re.compile(r"(?:\s*\d+\t)?(?:class |def )\w+")
-_HEADER = re.compile(r"(class|def)\s+(\w+)")
-_SEPARATORS = ",;)}] \t"
+_HEADER = re.compile(r"(?:class|def)\s|# Lines \d")
+_NAMED = re.compile(r"(?:class|def)\s+\w+")
+_SEPARATORS = ", ;}]"
 
 _CHUNK = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("start_line", "end_line", "tokens"))])
 
@@ -29,78 +32,81 @@ def is_boundary(line: str) -> bool:
 
 
 def pieces(line: str, most: int, count: Counter = estimate) -> Iterator[str]:
-    """An oversized line in parts of at most ``most`` tokens, cut after a separator in the back half of a part.
+    """An oversized line in parts of about ``most`` tokens that join to it again.
 
-    The parts join to the line again.
+    Parts are of equal width, cut back to the last separator of their back half.
+    What is still too large loses its front half until the rest fits.
     """
-    todo = [line]
-    while todo:
-        text = todo.pop()
-        tokens = count(text)
-        if tokens <= most or len(text) < 2:
-            yield text
-            continue
-        room = max(1, len(text) * most // tokens)
-        cut = max((text.rfind(s, room // 2, room) for s in _SEPARATORS), default=-1) + 1 or room
-        todo += [text[cut:], text[:cut]]
-        if count(text[:cut]) > most:  # denser than its share
-            todo[-1:] = [text[cut // 2 : cut], text[: cut // 2]] if cut > 1 else [text[:cut]]
-
-
-def chunks(text: str, most: int, count: Counter = estimate) -> list[tuple[str, int, int, int]]:
-    """``(text, first line, last line, tokens)`` with lines from 1, last included.
-
-    Structural blocks are packed whole; one that does not fit is packed by lines,
-    and a line that does not fit alone is cut.  Texts join to the input: lines of
-    a chunk by newlines, parts of one line by nothing.
+    total = count(line)
+    if total <= most:
+        yield line
+        return
+    width, at = max(1, len(line) // max(2, -(-total // most))), 0
+    while at < len(line):
+        stop = at + width
+        if stop < len(line):
+            stop = 1 + max(line.rfind(s, at + width // 2, stop) for s in _SEPARATORS) or stop
+        part, at = line[at:stop], stop
+        while len(part) > 1 and count(part) > most:
+            yield part[: len(part) // 2]
+            part = part[len(part) // 2 :]
+        yield part
+
+
+def packed(sizes: list[int], most: int) -> Iterator[slice]:
+    """Runs of neighbours whose sizes sum to ``most`` at most, as long as they can be; a larger one stands alone."""
+    first = total = 0
+    for i, size in enumerate(sizes):
+        if i > first and total + size > most:
+            yield slice(first, i)
+            first, total = i, 0
+        total += size
+    if sizes:
+        yield slice(first, len(sizes))
+
+
+def chunks(text: str, most: int, count: Counter = estimate, single: int | None = None) -> list[tuple[str, int, int, int]]:
+    """``(text, first line, last line, tokens)`` with lines from 1, last included.
+
+    Structural blocks are packed whole by the sum of their counts.  A block of more
+    than ``single`` tokens (``most`` if not given), and a text without structure, is
+    packed by lines; a line that does not fit is packed by its parts, each of which
+    counts as a line.
     """
     lines = text.split("\n")
-    starts = [i for i, line in enumerate(lines) if is_boundary(line)]
-    edges = sorted({0, *starts, len(lines)})
-    units: list[tuple[list[str], int]] = [(lines[a:b], a) for a, b in zip(edges, edges[1:], strict=False)]
+    edges = [i for i, line in enumerate(lines) if is_boundary(line)]
+    whole = [] if not edges else [slice(a, b) for a, b in zip([0, *edges], [*edges, len(lines)], strict=True) if a < b]
+    sizes = [count("\n".join(lines[s])) for s in whole]
     out: list[tuple[str, int, int, int]] = []
-    held: list[str] = []
-    first = 0
-
-    def flush() -> None:
-        nonlocal held
-        if held:
-            body = "\n".join(held)
-            out.append((body, first + 1, first + len(held), count(body)))
-        held = []
-
-    def add(block: list[str], at: int) -> None:
-        nonlocal held, first
-        if held and count("\n".join(held + block)) > most:
-            flush()
-        if not held:
-            first = at
-        held = held + block
-
-    for block, at in units:
-        if count("\n".join(block)) <= most:
-            add(block, at)
-            continue
-        for i, line in enumerate(block, at):
-            if count(line) <= most:
-                add([line], i)
-                continue
-            flush()
-            out += [(part, i + 1, i + 1, count(part)) for part in pieces(line, most, count)]
-    flush()
+
+    def tell(own: list[str], at: int) -> None:
+        body = "\n".join(own)
+        out.append((body, at + 1, at + len(own), count(body)))
+
+    def by_lines(part: slice) -> None:
+        split = [p for line in lines[part] for p in pieces(line, most, count)]
+        for run in packed(list(map(count, split)), most):
+            tell(split[run], part.start + run.start)
+
+    if not whole:
+        by_lines(slice(0, len(lines)))
+    for large, run in groupby(range(len(whole)), lambda k: sizes[k] > (most if single is None else single)):
+        own = list(run)
+        for r in packed([sizes[k] for k in own], 0 if large else most):
+            first, last = whole[own[r][0]], whole[own[r][-1]]
+            by_lines(first) if large else tell(lines[first.start : last.stop], first.start)
     return out
 
 
 def without_repeated_definitions(text: str) -> str:
-    """Without top-level definitions whose header stood before, up to the next header."""
-    seen: set[tuple[str, str]] = set()
+    """Without definitions whose header stood before, up to the next header."""
+    seen: set[str] = set()
     out, skip = [], False
     for line in text.split("\n"):
-        if m := _HEADER.match(line):
-            skip = (key := (m[1], m[2])) in seen
-            seen.add(key)
-        elif line[:1] not in ("", " ", "\t", ")", "]", "}"):
-            skip = False
+        if _HEADER.match(line):
+            name = _NAMED.match(line)
+            skip = name is not None and name[0] in seen
+            seen.update([name[0]] if name else [])
         if not skip:
             out.append(line)
     return "\n".join(out)
@@ -115,3 +121,11 @@ def chunked(text: pd.Series, most: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def deduplicated_definitions(text: pd.Series) -> pd.Series:
     return text.map(without_repeated_definitions, na_action="ignore")
+
+
+@udtf(returnType="text string, start_line int, end_line int, tokens int")
+class Chunk:
+    """Table function: a row for each chunk of a text within a budget."""
+
+    def eval(self, text: str | None, most: int) -> Iterator[tuple]:
+        yield from chunks(text, most) if text is not None else ()

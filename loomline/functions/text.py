@@ -5,6 +5,7 @@ Patterns are ASCII on purpose, so that Java and RE2 agree on them.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +16,8 @@ from loomline.schemas import RESULT_KINDS
 # Fixed values.
 MODEL_KINDS_TASKS = ("task_tracker", "finish")
 SYSTEM_HEAD, SYSTEM_MARK = 500, "\n[...truncated...]"
+CODE_TOKENS = ("def ", "class ", "import ", "return ", "self.")
+FRAME_LINES = ("Exit code:", "Wall time:", "Total output lines:", "Output:")
 CODE_WORDS = ("import ", "def ", "class ", "from ", "function ", "package ")
 PREAMBLES = (
     "Here is the compressed", "Here's the compressed", "I have compressed", "Below is the compressed",
@@ -22,10 +25,12 @@ PREAMBLES = (
 )
 QA_STARTS = ("Yes,", "No,", "The answer is", "To answer", "Based on")
 STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by from as into about between"
-    " through during before after and or but not no if then else when where how what which who that this it i me my we our you your he she they them its all each any"
-    " some just also very so too up out get"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "can", "shall", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "about", "between", "through",
+    "during", "before", "after", "and", "or", "but", "not", "no", "if", "then", "else", "when", "where", "how", "what", "which", "who", "that",
+    "this", "it", "i", "me", "my", "we", "our", "you", "your", "he", "she", "they", "them", "its", "all", "each", "any", "some", "just", "also",
+    "very", "so", "too", "up", "out", "get",
+)
 CODE_HINT = (
     r"(?i)(\bbugs?\b|\bcode\b|\bfiles?\b|\bfunctions?\b|\brefactor|\btests?\b|\bbuild\b|\bimports?\b|\bgrep\b|\brepo\b|\bmodules?\b|\bgit\b|\brun\b|\bfix|\bedit|\brename|"
     r"\bcodebase\b|\bdeprecated\b|\bcompile|\bclass\b|\bmethods?\b|\bvariables?\b|\bstack trace\b|\bimplementation\b|\bparser\b|\bcrash|\bserver\b|"
@@ -195,17 +200,20 @@ def fenced_input(text: Column) -> Column:
 
 def body_of(text: Column, seg_id: str) -> Column:
     """``struct<found, body>`` of one segment; a blank body is null but found."""
-    block = rf"(?s)\[SEG\s+id={seg_id}(?=[\s\]])[^\]]*\](.*?)\[/SEG\]"
+    block = rf"(?s)\[SEG\s+id={re.escape(seg_id)}(?=[\s\]])[^\]]*\](.*?)\[/SEG\]"
     body = F.regexp_replace(F.regexp_extract(text, block, 1), r"^\n+|\n+$", "")
     found = text.rlike(block)
     return F.struct(F.coalesce(found, F.lit(False)).alias("found"), F.when(found & body.rlike(r"\S"), body).alias("body"))
 
 
 def unwrap(text: Column) -> Column:
-    """Model output without its thoughts and segment marks, paired or stray."""
-    rest = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    paired = r"(?s)\[SEG\b[^\]]*\]\n?(.*?)\n?\[/SEG\]"
-    return strip(F.when(rest.rlike(paired), F.regexp_extract(rest, paired, 1)).otherwise(F.regexp_replace(rest, r"\[/?SEG\b[^\]]*\]", "")))
+    """Model output without its thoughts and segment marks, paired or stray.
+
+    All up to the first end of a thought goes, also where its beginning is missing.
+    """
+    rest = strip(F.regexp_replace(F.regexp_replace(text, r"(?s)\A.*?</think>", ""), r"(?s)<think>.*?</think>\s*", ""))
+    paired = r"(?s)\[SEG\b[^\]]*\]\s*(.*?)\s*\[/SEG\]"
+    return strip(F.when(rest.rlike(paired), F.regexp_extract(rest, paired, 1)).otherwise(F.regexp_replace(rest, r"\[SEG\b[^\]]*\]|\[/SEG\]", "")))
 
 
 def without_reminders(text: Column) -> Column:
@@ -215,22 +223,26 @@ def without_reminders(text: Column) -> Column:
 
 def without_line_numbers(text: Column) -> Column:
     """Without the number and tab that a listing puts before each line."""
-    return F.regexp_replace(text, r"(?m)^[ \t]*\d+\t", "")
+    return F.regexp_replace(text, r"(?m)^\s*\d+\t", "")
 
 
 def without_padding(text: Column) -> Column:
-    """Line numbers stay, the blanks before them go."""
-    return F.regexp_replace(text, r"(?m)^[ ]+(\d+\t)", "$1")
+    """Line numbers stay, the blanks and tabs before them go."""
+    return F.regexp_replace(text, r"(?m)^[ \t]+(\d+\t)", "$1")
 
 
 def with_line_numbers(text: Column) -> Column:
-    """Numbered lines, for code of four lines or more that is not numbered yet."""
-    lines = F.split(text, "\n")
-    signals = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(import |from |def |class |function |return |if |for |while |#|//|@|\}|\{)|[;{]\s*$|\):\s*$")))
+    """``N<tab>line`` for code of four lines or more that is not numbered yet.
+
+    Code is what holds two code tokens at least; numbered is what has a number and
+    a tab or an arrow on 60 % of its first lines.
+    """
+    lines = F.split(F.regexp_replace(text, r"(\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029])\z", ""), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]", -1)
+    tokens = reduce(lambda a, b: a + b, (occurrences(text, w) for w in CODE_TOKENS))
     top = F.slice(lines, 1, 20)
-    numbered = F.size(F.filter(top, lambda x: x.rlike(r"^\s*\d+\t"))) / F.size(top)
-    added = F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit("\t"), x)), "\n")
-    return F.when((F.size(lines) >= 4) & (signals >= 2) & (numbered < 0.6), added).otherwise(text)
+    numbered = F.size(F.filter(top, lambda x: x.rlike(r"^\s*\d+[\t→]")))
+    added = F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit("\t"), x, F.lit("\n"))), "")
+    return F.when((F.size(lines) >= 4) & (tokens >= 2) & (10 * numbered < 6 * F.size(top)), added).otherwise(text)
 
 
 def matchable(text: Column) -> Column:
@@ -239,14 +251,15 @@ def matchable(text: Column) -> Column:
 
 
 def unix_lines(text: Column) -> Column:
-    return F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    """Line ends as line feeds, those of a carriage return alone too."""
+    return F.regexp_replace(text, r"\r\n?", "\n")
 
 
 def command_frame(text: Column) -> Column:
     """``struct<header, body>``: leading lines that report on a command, and its output."""
-    frame = r"^((?:\s*\n|(?:Exit code|Wall time|Total output lines|Output|Chunk ID|Process exited)\b[^\n]*\n)*)"
-    header = F.regexp_extract(text, frame, 1)
-    seen = header.rlike(r"\S")
+    told = "|".join(FRAME_LINES)
+    header = F.regexp_extract(text, rf"\A((?:[^\S\n]*\n|[^\S\n]+\z|(?:{told})[^\n]*(?:\n|\z))*)", 1)
+    seen = header.rlike(rf"(?m)^(?:{told})")
     return F.struct(F.when(seen, header).otherwise("").alias("header"), F.when(seen, F.substring(text, F.length(header) + 1, F.length(text))).otherwise(text).alias("body"))
 
 
@@ -315,7 +328,7 @@ def marker_counts(text: Column, patterns: dict[str, str]) -> Column:
 def label_category(label: Column) -> Column:
     """What a quality label is about."""
     low = F.lower(label)
-    return F.when(low.contains("dropped"), "dropped").when(low.contains("docstring"), "docstring").when(low.contains("bash") | low.contains("grep"), "log").otherwise("code_kept")
+    return F.when(low.contains("dropped"), "dropped").when(low.contains("docstring"), "docstring").when(low.contains("bash") | low.contains("grep"), "bash_grep").otherwise("code_kept")
 
 
 def ratio_level(ratio: Column) -> Column:
@@ -326,17 +339,31 @@ def ratio_level(ratio: Column) -> Column:
 
 
 def looks_truncated(text: Column) -> Column:
-    """Whether an output was cut off: empty, more marks opened than closed, or no close in a long one."""
-    opened, closed = occurrences(text, "[SEG id="), occurrences(text, "[/SEG]")
-    return F.coalesce(~text.rlike(r"\S") | (opened > closed) | ((F.length(text) > 200) & ~F.regexp_replace(text, r"\s+$", "").rlike(r"(\[/SEG\]|[.!?`})\]\"'])$")), F.lit(True))
+    """Whether an output was cut off.
+
+    Empty ones are, and those that open more segments than they close.  What ends
+    in neither a closing mark nor a fence is, unless it is short and without segments.
+    """
+    opened, closed = F.regexp_count(text, F.lit(r"\[SEG\s+id=[^\s\]]+\s+kind=[^\s\]]+\s+level=[^\s\]]+\]")), occurrences(text, "[/SEG]")
+    tail = F.regexp_replace(text, r"\s+\z", "")
+    unended = ~(tail.endswith("[/SEG]") | tail.endswith("```"))
+    return F.coalesce((tail == "") | (opened > closed) | (unended & ((opened > 0) | (F.length(text) >= 200))), F.lit(True))
 
 
 def patch_of(answer: Column) -> Column:
-    """The diff in an answer: a diff fence, any fence with a diff, or the bare diff."""
-    fenced = F.regexp_extract(answer, r"(?s)```(?:diff|patch)\n(.*?)```", 1)
-    other = F.regexp_extract(answer, r"(?s)```[a-z]*\n((?:diff --git|--- ).*?)```", 1)
-    bare = F.regexp_extract(answer, r"(?s)((?:diff --git|--- a/).*)", 1)
-    return F.coalesce(*(F.nullif(x, F.lit("")) for x in (fenced, other, bare)))
+    """The diff in an answer (R36): that of a diff fence, of any fence that holds one,
+    from where a bare one begins, else the whole answer; a null answer is empty."""
+    text = F.coalesce(answer, F.lit(""))
+    fence = r"(?s)```[a-zA-Z]*\s*\n(.*?)```"
+    tagged = r"(?is)```(?:diff|patch)\s*\n(.*?)```"
+    bodies = F.filter(F.regexp_extract_all(text, F.lit(fence), F.lit(1)), lambda b: b.contains("--- a/") | b.rlike(r"\A\s*(---|diff --git)"))
+    bare = r"(?s)(?:\A|\n)((?:diff --git [^\n]|--- [^\n]+\n\+\+\+ [^\n]).*)"
+    return (
+        F.when(text.rlike(tagged), strip(F.regexp_extract(text, tagged, 1)))
+        .when(F.size(bodies) > 0, strip(F.get(bodies, 0)))
+        .when(text.rlike(bare), strip(F.regexp_replace(strip(F.regexp_extract(text, bare, 1)), r"\A`+|`+\z", "")))
+        .otherwise(strip(text))
+    )
 
 
 def touched_files(diff: Column) -> Column:

@@ -105,3 +105,18 @@ def new_cache(compressed: DataFrame) -> DataFrame:
     """Cache entries of what was compressed: one row a content."""
     body = F.regexp_replace("output", r"^\[REF:[^\]]*\]\n", "")
     return compressed.filter("reason is null").groupBy("content_id").agg(F.min(body).alias("compressed"))
+
+
+def reference_id(tool_input: Column) -> Column:
+    """The content id that a call asks for, from ``shadow_id`` or else ``id``, bare or as a tag."""
+    asked = F.coalesce(F.nullif(F.get_json_object(tool_input, "$.shadow_id"), F.lit("")), F.get_json_object(tool_input, "$.id"), F.lit(""))
+    return F.regexp_extract(asked, r"^\s*(?:\[REF:\s*)?([^\s\]]*)", 1)
+
+
+def resolved(calls: DataFrame, store: DataFrame) -> DataFrame:
+    """Calls ``(…, tool_input)`` with ``reference`` and ``content``: the original of ``store(content_id, original)``,
+    or what tells the model to go on without it (E16, ST8's lookup).  An id is in the store once."""
+    rows = calls.withColumn("reference", reference_id(F.col("tool_input")))
+    rows = rows.join(store.select(F.col("content_id").alias("reference"), "original"), "reference", "left")
+    gone = F.concat(F.lit("[Reference '"), "reference", F.lit("' can no longer be expanded (it may have aged out of the shadow store). Its summary is still in your context above — carry on using that.]"))
+    return rows.withColumn("content", F.coalesce("original", gone)).drop("original")

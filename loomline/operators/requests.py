@@ -121,12 +121,14 @@ def demoted(blocks: DataFrame) -> DataFrame:
 
 
 def folded_unsigned(blocks: DataFrame, signed: Column) -> DataFrame:
-    """Tool calls without a signature, and their results, as text of the user."""
-    unsigned = blocks.filter((F.col("block_type") == "tool_use") & ~signed).select("request_id", "tool_use_id").distinct().withColumn("_fold", F.lit(True))
-    rows = blocks.join(unsigned, ["request_id", "tool_use_id"], "left")
-    fold = F.coalesce("_fold", F.lit(False))
-    told = F.when(F.col("block_type") == "tool_use", F.concat(F.lit("[called "), "tool_name", F.lit(" "), F.coalesce("tool_input", F.lit("{}")), F.lit("]"))).otherwise(F.col("text"))
-    return rows.select(*(F.when(fold, new).otherwise(F.col(c)).alias(c) if (new := {"block_type": F.lit("text"), "role": F.lit("user"), "text": told}.get(c)) is not None else F.col(c) for c in blocks.columns))
+    """Without tool calls that lack a signature; their results are titled texts of the user."""
+    unsigned = (F.col("block_type") == "tool_use") & ~signed
+    called = blocks.filter(unsigned & F.col("tool_use_id").isNotNull()).groupBy("request_id", "tool_use_id").agg(F.max_by(F.coalesce("tool_name", F.lit("tool")), F.struct("msg_idx", "block_idx")).alias("_called"))
+    rows = blocks.filter(~F.coalesce(unsigned, F.lit(False))).join(called, ["request_id", "tool_use_id"], "left")
+    fold = F.col("_called").isNotNull() & (F.col("block_type") == "tool_result")
+    told = F.concat(F.lit("[Tool result — "), "_called", F.lit("]\n"), F.coalesce("text", F.lit("")))
+    folded = {"block_type": F.lit("text"), "role": F.lit("user"), "text": told, "tool_use_id": F.lit(None)}
+    return rows.select(*(F.when(fold, folded[c]).otherwise(F.col(c)).alias(c) if c in folded else F.col(c) for c in blocks.columns))
 
 
 def concealed(blocks: DataFrame, virtual: list[str]) -> DataFrame:

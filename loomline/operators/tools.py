@@ -9,8 +9,9 @@ from loomline.functions import text as X
 
 # Fixed values.
 WHITELIST = ("Read", "Grep", "Glob", "Bash", "Edit", "Write")
-GENERIC = ("SendMessage", "PushNotification", "Monitor", "TaskUpdate", "TaskGet", "TaskList", "Skill", "ReportFindings")
-TOP_K, SESSION_K, DYNAMIC_LEAST, DYNAMIC_MOST, ALPHA = 5, 8, 5, 20, 0.85
+#: An agent cannot act without these: no selection takes them away.
+CORE = ("shell", "shell_command", "local_shell", "container.exec", "exec", "bash", "apply_patch", "run_terminal_cmd", "str_replace_editor", "editor")
+TOP_K, SESSION_K, DYNAMIC_LEAST, DYNAMIC_MOST, ALPHA = 5, 8, 5, 20, 0.9
 MCP_THRESHOLD = 1.0
 LEAST_TOOLS = 5
 VECTOR_BLOCK = 8 << 20
@@ -135,6 +136,23 @@ def with_whitelist(ranked: DataFrame, by: list[str], wanted: Column, k: int = SE
     return ranked.withColumn("place", (F.row_number().over(w) - 1).cast("int")).withColumn("kept", F.col("place") < k)
 
 
+def selected(ranked: DataFrame, by: list[str], wanted: Column, alpha: float = ALPHA, least: int = DYNAMIC_LEAST, most: int = DYNAMIC_MOST, name: str = "name") -> DataFrame:
+    """``place`` and ``kept``: whitelisted tools first where ``wanted``, then those near the best.
+
+    ``ranked`` has ``score`` and ``rank`` from 0 by falling score.  Others follow in
+    order as long as their score is at least ``alpha`` of the best, or fewer than
+    ``least`` tools are chosen; ``most`` in all.  ``least`` tools or fewer all stay.
+    """
+    whole = Window.partitionBy(*by)
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, WHITELIST)), F.col(name)), F.lit(0))
+    listed = F.coalesce(wanted, F.lit(False)) & (place > 0)
+    rows = ranked.withColumns({"_listed": listed, "_n": F.count(F.lit(1)).over(whole), "_best": F.max("score").over(whole)})
+    order = whole.orderBy(F.desc("_listed"), F.when(F.col("_listed"), place).otherwise(F.col("rank")))
+    rows = rows.withColumn("place", (F.row_number().over(order) - 1).cast("int"))
+    near = F.col("_listed") | (F.col("score") >= alpha * F.col("_best")) | (F.col("place") < least)
+    return rows.withColumn("kept", (F.col("_n") <= least) | (near & (F.col("place") < most))).drop("_listed", "_n", "_best")
+
+
 def is_mcp(name: Column) -> Column:
     return name.startswith("mcp__")
 
@@ -148,12 +166,13 @@ def mcp_signal(ranked: DataFrame, by: list[str], name: str = "name", rank: str =
 def applied(tools: DataFrame, signal: DataFrame, by: list[str], threshold: float = MCP_THRESHOLD) -> DataFrame:
     """What becomes of each tool: ``keep``, ``stub`` or ``drop``.
 
-    Fewer than five tools pass as they are; tools that are not kept are stubbed
-    only if they are MCP tools and the selection's signal is strong enough.
+    Fewer than five tools pass as they are, and so do core tools, whether the
+    selection kept them or not; tools that are not kept are stubbed only if they are
+    MCP tools and the selection's signal is strong enough.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     rows = tools.join(signal, by, "left").withColumn("_n", n)
-    fate = F.when((F.col("_n") < LEAST_TOOLS) | F.col("kept"), "keep").when(is_mcp(F.col("name")) & (F.coalesce("signal", F.lit(0.0)) >= threshold), "stub").otherwise("drop")
+    fate = F.when((F.col("_n") < LEAST_TOOLS) | F.col("kept") | F.col("name").isin(*CORE), "keep").when(is_mcp(F.col("name")) & (F.coalesce("signal", F.lit(0.0)) >= threshold), "stub").otherwise("drop")
     description = F.concat(F.lit("[deferred] "), F.substring(F.coalesce("description", F.lit("")), 1, 48), F.lit(" — call to load full schema."))
     return rows.withColumn("fate", fate).withColumn("description", F.when(F.col("fate") == "stub", description).otherwise(F.col("description"))).drop("_n", "signal")
 

@@ -50,6 +50,23 @@ def is_lazy(kind: Column, before: Column, after: Column) -> Column:
     return F.coalesce(large & (verbatim_run(after, before) / F.greatest(F.lit(1), n_out) > LAZY_RUN), F.lit(False))
 
 
+def lazy_segments(both: DataFrame) -> DataFrame:
+    """``both(kind, content, out)`` with ``ratio``, ``verbatim_share`` and ``lazy`` by the strict rule, for any kind (V9)."""
+    n_in, n_out = F.length("content"), F.length("out")
+    rows = both.withColumns({"ratio": n_out / F.greatest(F.lit(1), n_in), "verbatim_share": verbatim_run(F.col("out"), F.col("content")) / F.greatest(F.lit(1), n_out)})
+    strict = (n_in > LAZY_IN) & (n_out > LAZY_OUT) & (F.col("ratio") > LAZY_RATIO) & (F.col("verbatim_share") > LAZY_RUN)
+    return rows.withColumn("lazy", F.coalesce(strict, F.lit(False)))
+
+
+def lazy_by_kind(rows: DataFrame) -> DataFrame:
+    """Segments, mean ratio and verbatim share, and lazy ones of each kind (V9)."""
+    lazy = F.count_if("lazy")
+    return rows.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n_segments"), F.round(F.avg("ratio"), 4).alias("ratio"), F.round(F.avg("verbatim_share"), 4).alias("verbatim_share"),
+        lazy.alias("n_lazy"), F.round(100 * lazy / F.count(F.lit(1)), 2).alias("lazy_percent"),
+    )
+
+
 def segment_states(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     """INTACT, SHRUNK, DROPPED or ADDED for each segment id of either side."""
     a = before.select(*by, F.length("content").alias("n_in"), F.col("kind"), F.col("level"))

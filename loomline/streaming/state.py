@@ -78,26 +78,33 @@ def path_history(reads: DataFrame, key: str, item: str, order: str, most: int =
     return reads.select(key, item, order).groupBy(key).applyInPandasWithState(last_distinct(key, item, order, most), out, f"items array<{kind}>", "append", GroupStateTimeout.NoTimeout)
 
 
-def _frozen(key: str, order: str, names: str):
+def _frozen(key: str, order: str, offered: str, chosen: str, least: int):
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = set(state.get[0]) if state.exists else set()
+        held = list(state.get[0]) if state.exists else []
         rows = []
         for _, row in _ordered(frames, order).iterrows():
-            here = list(row[names])
-            kept = [n for n in here if n in held]
+            here = set(row[offered])
+            kept = [n for n in held if n in here]
             if not kept:  # nothing chosen before is offered any more
-                kept, held = here, set(here)
+                kept = list(row[chosen])
+                held = kept if len(row[offered]) > least else held
             rows.append((keys[0], row[order], kept))
-        state.update((sorted(held),))
+        state.update((held,))
         yield pd.DataFrame(rows, columns=[key, order, "selection"])
 
     return run
 
 
-def frozen_selection(requests: DataFrame, key: str, order: str, names: str) -> DataFrame:
-    """The first selection of a session serves its later requests as far as it is still offered (ST4)."""
+def frozen_selection(requests: DataFrame, key: str, order: str, offered: str, chosen: str | None = None, least: int = 0) -> DataFrame:
+    """The first selection of a session serves its later requests as far as it is still offered (ST4).
+
+    ``chosen``: what a selection takes of the ``offered`` names, by place; all of
+    them if not given.  Requests with ``least`` tools or fewer freeze nothing.
+    """
+    chosen = chosen or offered
     out = f"{key} {requests.schema[key].dataType.simpleString()}, {order} {requests.schema[order].dataType.simpleString()}, selection array<string>"
-    return requests.select(key, order, names).groupBy(key).applyInPandasWithState(_frozen(key, order, names), out, "names array<string>", "append", GroupStateTimeout.NoTimeout)
+    rows = requests.select(key, order, *dict.fromkeys((offered, chosen)))
+    return rows.groupBy(key).applyInPandasWithState(_frozen(key, order, offered, chosen, least), out, "names array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed(events: DataFrame, time: str, window: str, delay: str, *by: str) -> DataFrame:

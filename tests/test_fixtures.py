@@ -68,6 +68,35 @@ def test_message_kind(spark):
     assert [r[0] for r in df.select(X.message_kind(*map(F.col, "rctp"))).collect()] == [c[4] for c in cases]
 
 
+def test_outputs_of_models(spark):
+    t = F.col("t")
+    assert one(spark, X.unwrap(t), t="thought</think>body") == "body"
+    assert one(spark, X.unwrap(t), t="[SEG id=a]\n\n x \n[/SEG]") == "x"
+    assert one(spark, X.looks_truncated(t), t="word " * 60 + ".") is True
+    assert one(spark, X.looks_truncated(t), t="short.") is False
+    assert one(spark, X.label_category(t), t="Bash output") == "bash_grep"
+    assert tuple(one(spark, X.command_frame(t), t="Output was lost\nx")) == ("", "Output was lost\nx")
+    assert tuple(one(spark, X.command_frame(t), t="Exit code: 0\n\nOutput:\nx")) == ("Exit code: 0\n\nOutput:\n", "x")
+    assert one(spark, X.unix_lines(t), t="a\r\nb\rc") == "a\nb\nc"
+    log = "for a in b\nwhile waiting\nif x\nreturn code"
+    assert one(spark, X.with_line_numbers(t), t=log) == log
+    arrows = "\n".join(f" {i}→import x" for i in range(5))
+    assert one(spark, X.with_line_numbers(t), t=arrows) == arrows
+    assert one(spark, X.with_line_numbers(t), t="import a\nimport b\nx\ny\n") == "1\timport a\n2\timport b\n3\tx\n4\ty\n"
+    assert one(spark, X.without_padding(t), t="\t 12\tx") == "12\tx"
+    assert one(spark, X.body_of(t, "a.c"), t="[SEG id=abc kind=k level=L1]x[/SEG]") == (False, None)
+
+
+def test_sql_names(spark):
+    from loomline.functions.register import register
+
+    assert len(register(spark)) == 11
+    assert spark.sql("SELECT loom_tokens_ceil('abcde') AS n, loom_lint('import os\nx') AS l").first() == (2, "x")
+    text = "[SEG id=a kind=k level=L1]x[/SEG] [SEG id=a kind=k level=L2]y[/SEG]"
+    assert [tuple(r) for r in spark.sql(f"SELECT * FROM loom_parse_segments('{text}')").collect()] == [("a", "k", "L2", "y")]
+    assert [r["text"] for r in spark.sql("SELECT * FROM loom_chunk('aaaaaaaa\nbbbbbbbb', 2)").collect()] == ["aaaaaaaa", "bbbbbbbb"]
+
+
 def test_blocks(spark):
     text = "[SEG id=s1 kind=k level=L1][/SEG]"
     assert one(spark, X.body_of(F.col("t"), "s1"), t=text) == (True, None)
@@ -89,7 +118,8 @@ def test_numbers_and_names(spark):
     assert one(spark, X.wants_code(F.col("t")), t="please fix this") and not one(spark, X.wants_code(F.col("t")), t="hello")
     assert one(spark, X.lacks_tool(F.col("t")), t="I don't have a calendar integration")
     assert many(spark, X.ratio_level(F.col("c")), "c", ["0.2", "25%", "0.35", "0.5", "x"]) == ["L3", "L2", "L1", "L0", None]
-    assert one(spark, X.patch_of(F.col("t")), t="so:\n```diff\n--- a/x\n+++ b/x\n```") == "--- a/x\n+++ b/x\n"
+    assert one(spark, X.patch_of(F.col("t")), t="so:\n```diff\n--- a/x\n+++ b/x\n```") == "--- a/x\n+++ b/x"
+    assert one(spark, X.patch_of(F.col("t")), t=" no diff here ") == "no diff here"
     assert one(spark, X.touched_files(F.col("t")), t="diff --git a/p.py b/p.py\ndiff --git a/p.py b/p.py") == ["p.py"]
 
 
@@ -263,18 +293,41 @@ def test_lint():
     assert lint.lint("x = f(1)\ny = f(1)") == "x = f(1)\ny = f(1)"
 
 
+def greedy(sizes, most):
+    """Neighbours in runs, step by step."""
+    runs, held = [], []
+    for i, n in enumerate(sizes):
+        if held and sum(sizes[k] for k in held) + n > most:
+            runs.append(held)
+            held = []
+        held.append(i)
+    return [*runs, held] if held else runs
+
+
 def test_chunks():
     rng = random.Random(5)
+    for _ in range(200):
+        sizes = [rng.randrange(12) for _ in range(rng.randrange(30))]
+        assert [list(range(r.start, r.stop)) for r in chunking.packed(sizes, 10)] == greedy(sizes, 10)
     for _ in range(50):
-        lines = ["x" * rng.randrange(200) if rng.random() < 0.9 else "def f():" for _ in range(rng.randrange(1, 40))]
+        lines = ["x" * rng.randrange(70) if rng.random() < 0.9 else "def f():" for _ in range(rng.randrange(1, 40))]
         text = "\n".join(lines)
         out = chunking.chunks(text, 20)
-        assert all(n <= 20 for *_, n in out)
-        joined = out[0][0]
-        for (_, _, b, _), (t, a, _, _) in zip(out, out[1:], strict=False):
-            joined += t if a == b else "\n" + t
-        assert joined == text
-    assert chunking.without_repeated_definitions("def a():\n  1\ndef b():\n  2\ndef a():\n  1\nx = 1") == "def a():\n  1\ndef b():\n  2\nx = 1"
+        assert "\n".join(t for t, *_ in out) == text  # no line is cut
+        at = 1
+        for body, first, last, n in out:
+            assert first == at and last == first + body.count("\n") and n == chunking.estimate(body)
+            assert sum(map(chunking.estimate, body.split("\n"))) <= 20 or first == last or chunking.is_boundary(body)
+            at = last + 1
+    # Parts of a line are packed with the lines about them, and count as lines.
+    out = chunking.chunks("ab\n" + "x" * 90 + "\ncd", 10)
+    assert "".join(t for t, *_ in out).replace("\n", "") == "ab" + "x" * 90 + "cd" and out[0][0].startswith("ab\nx") and out[-1][0].endswith("x\ncd")
+    assert list(chunking.pieces("a, b" * 20, 10))[0].endswith((",", " ")) and "".join(chunking.pieces("a, b" * 20, 10)) == "a, b" * 20
+    # Blocks of a definition are whole up to the single limit.
+    block = "def f():\n" + "\n".join("    y" for _ in range(20))
+    assert [c[0] for c in chunking.chunks(f"{block}\n{block}", 10, single=1000)] == [block, block]
+    assert chunking.without_repeated_definitions("def a():\n  1\ndef b():\n  2\ndef a():\n  1\nx = 1") == "def a():\n  1\ndef b():\n  2"
+    assert chunking.without_repeated_definitions("def a(): 1\ndef a(): 2\n# Lines 5-9\ny") == "def a(): 1\n# Lines 5-9\ny"
 
 
 def test_recovery():
@@ -303,6 +356,9 @@ def test_patches():
     patch = "*** Begin Patch\n*** Update File: x\n@@\n-max_retries = -1\n+max_retries = 3\n*** End Patch"
     text, n = edits.rewrite(patch, [source])
     assert n == 1 and "-    max_retries = -1  ## keep\n+max_retries = 3" in text
+    twice = patch.replace("-max_retries = -1", " a = 1\n-max_retries = -1").replace("*** End Patch", " # only a remark\n*** End Patch")
+    assert edits.rewrite_patch(twice, ["x", source, "a = 1\nmax_retries=-1"]) == (twice, 0)  # the remark is a line of its own
+    assert edits.rewrite_patch(patch, [source + "\nmax_retries = -1"]) == (patch, 0)  # not unique
     assert edits.recounted("@@ -1,9 +1,9 @@\n x\n-y\n+z") == "@@ -1,2 +1,2 @@\n x\n-y\n+z\n"
     assert edits.without_numbers("+  12\tx\n y") == "+x\n y"
     diff = "--- a/p.py\n+++ b/p.py\n@@ -9,3 +9,3 @@\n x = 1\n-y=2\n+y = 3\n z = 4\n"
@@ -360,7 +416,7 @@ def test_wire_shapes(spark):
     assert [r["tool_use_id"] for r in requests.orphans(blocks).collect()] == ["v"]
     assert [r["block_type"] for r in requests.demoted(blocks).orderBy("msg_idx", "block_idx").collect()] == ["text", "tool_use", "tool_result", "text"]
     folded = requests.folded_unsigned(blocks, F.lit(False)).orderBy("msg_idx", "block_idx").collect()
-    assert [(r["role"], r["block_type"]) for r in folded] == [("user", "text")] * 3 + [("user", "tool_result")]
+    assert [(r["role"], r["block_type"], r["text"]) for r in folded] == [("user", "text", "hi"), ("user", "text", "[Tool result — Read]\nx"), ("user", "tool_result", "y")]
     hidden = requests.concealed(blocks, ["Read"])
     assert hidden.filter("block_type = 'tool_use'").count() == 0 and hidden.first()["stop_reason"] == "end_turn"
     chat = '{"messages": [{"role": "assistant", "content": null, "tool_calls": [{"id": "c", "function": {"name": "f", "arguments": "{}"}}]}, {"role": "tool", "tool_call_id": "c", "content": "z"}]}'
