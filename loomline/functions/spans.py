@@ -31,6 +31,11 @@ THOUGHT_GROUPS = ("error_class", "package_name", "quoted_literal", "url")
 NO_SPANS, LEAST_CHARS = ("system_prompt",), 50
 
 _ALL = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in GROUPS.items()))
+#: What every match of some group holds; most texts hold none of it and never reach Python.
+HINT = (
+    r"(?U)/|File\s+\"|(?:line|L)\s*[:#]?\s*\d|\d:\d|[0-9a-f]{7}|Error|Exception|Warning|Failure|Fault|[a-z0-9]_[a-z][a-z0-9]*_[a-z]|[a-z0-9][A-Z]|"
+    + "|".join(re.findall(r"\w{4,}", GROUPS["package_name"]))
+)
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())]))
 
 
@@ -49,7 +54,8 @@ def must_keep(text: pd.Series, kind: pd.Series) -> pd.Series:
 
 def span_rows(df: DataFrame, keys: list[str], text: str, kind: str) -> DataFrame:
     """One row a span."""
-    return df.select(*keys, F.explode(must_keep(F.col(text), F.col(kind))).alias("s")).select(*keys, "s.*")
+    told = F.when(F.col(text).rlike(HINT), F.col(text))
+    return df.select(*keys, F.explode(must_keep(told, F.col(kind))).alias("s")).select(*keys, "s.*")
 
 
 def group_count(text: Column, group: str) -> Column:

@@ -59,9 +59,10 @@ def slots(log: DataFrame, tokens: str, by: str = "model", order: str = "seq") ->
 
     Rows of no tokens do not use up the first slot.
     """
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.sum(tokens).over(before), F.lit(0))
-    return log.withColumn("slot", F.when(seen == 0, "first").otherwise("rest"))
+    opened = log.filter(F.col(tokens) != 0).groupBy(F.col(by).alias("_by")).agg(F.min(order).alias("_opened"))  # a row a group
+    rows = log.join(opened, F.col(by).eqNullSafe(F.col("_by")), "left")
+    first = F.col("_opened").isNull() | (F.col(order) <= F.col("_opened"))
+    return rows.withColumn("slot", F.when(first, "first").otherwise("rest")).drop("_by", "_opened")
 
 
 def accountable(log: DataFrame) -> DataFrame:

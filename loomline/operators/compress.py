@@ -59,7 +59,8 @@ def distinct_first(df: DataFrame, key: str, inputs: list[str], fn: Callable[[Dat
 
 def with_prior(blocks: DataFrame, order: str = "seq") -> DataFrame:
     """The latest earlier content of the same path, and whether this one is contained in it."""
-    w = Window.partitionBy("path").orderBy(order)
+    alone = F.when(F.col("path").isNull(), F.xxhash64(order))  # rows without a path have no earlier content, and are dealt
+    w = Window.partitionBy("path", alone).orderBy(order)
     own = F.when(F.col("path").isNotNull(), F.lag("content").over(w))
     norm, prior = X.matchable(F.col("content")), X.matchable(own)
     return blocks.withColumn("prior_id", X.content_id(own)).withColumn("contained", F.coalesce((norm == prior) | prior.contains(norm), F.lit(False)))

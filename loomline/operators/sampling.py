@@ -57,14 +57,14 @@ def allocate(strata: DataFrame, by: list[str], target: int, count: str = "n") ->
 def stratified(df: DataFrame, by: list[str], key: str, target: int, seed: int) -> DataFrame:
     """A proportional sample of ``target`` rows, each stratum in hash order (T4, T5)."""
     plan = allocate(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by, target)
-    return ranked(df, key, seed, by).join(F.broadcast(plan.select(*by, "take")), by).filter("place <= take").drop("place", "take")
+    return ranked(df, key, seed, by).join(plan.select(*by, "take"), by).filter("place <= take").drop("place", "take")
 
 
 def subsample(df: DataFrame, by: list[str], key: str, n: int, seed: int) -> DataFrame:
     """At least one row of each stratum, about its share, at most ``n`` in all."""
     total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))
     share = F.greatest(F.lit(1), F.bround(n * F.col("_c") / F.sum("_c").over(Window.partitionBy()), 0).cast("long"))
-    chosen = ranked(df, key, seed, by).join(F.broadcast(total.withColumn("_s", share).drop("_c")), by).filter("place <= _s").drop("place", "_s")
+    chosen = ranked(df, key, seed, by).join(total.withColumn("_s", share).drop("_c"), by).filter("place <= _s").drop("place", "_s")
     return ranked(chosen, key, seed + 1).filter(F.col("place") <= n).drop("place")
 
 
@@ -72,14 +72,15 @@ def split_by_group(df: DataFrame, group: str, share: float, seed: int) -> DataFr
     """``split``: ``val`` for whole groups, the first ``share`` of them in hash order, else ``train``."""
     groups = df.select(group).distinct()
     n = groups.agg(F.floor(F.count(F.lit(1)) * share).alias("_n"))
-    val = ranked(groups, group, seed).join(F.broadcast(n)).filter("place <= _n").select(group, F.lit("val").alias("split"))
+    val = ranked(groups, group, seed).join(F.broadcast(n))  # one row
+    val = val.filter("place <= _n").select(group, F.lit("val").alias("split"))
     return df.join(val, group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def per_kind(df: DataFrame, kind: str, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows of each kind in hash order, and ``short``: whether a kind has fewer."""
     totals = df.groupBy(kind).agg((F.count(F.lit(1)) < n).alias("short"))
-    return ranked(df, key, seed, [kind]).filter(F.col("place") <= n).join(F.broadcast(totals), kind)
+    return ranked(df, key, seed, [kind]).filter(F.col("place") <= n).join(totals, kind)
 
 
 def take(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

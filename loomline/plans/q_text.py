@@ -187,18 +187,21 @@ def batch_guard(t: Tables) -> DataFrame:
     return validate.batch_guard(rows, pool).select("custom_id", "reject_reason")
 
 
+_ENDS = rf"""length(trim({_OUT}, E' \t\n\r\f\v')) = 0 OR len(regexp_extract_all({_OUT}, '\[SEG\s+id=[^\s\]]+\s+kind=[^\s\]]+\s+level=[^\s\]]+\]')) > len(regexp_extract_all({_OUT}, '\[/SEG\]'))
+  OR (NOT regexp_matches({_OUT}, '(\[/SEG\]|```)\s*$') AND (length({_OUT}) >= 200 OR regexp_matches({_OUT}, '\[SEG\s+id=[^\s\]]+\s+kind=[^\s\]]+\s+level=[^\s\]]+\]')))"""
+
+
 @query(
     "failure_flags",
-    f"""WITH o AS (SELECT length({_OUT}) / greatest(1, length(text)) AS r, length({_OUT}) // 4 > (length(text) // 8) * 1.3 AS e, doc_id % 3 = 0 AS h FROM documents), f AS (
-  SELECT unnest(list_filter([CASE WHEN r > 0.85 THEN 'NO_COMPRESSION' WHEN r > 0.65 THEN 'WEAK_COMPRESSION' END, CASE WHEN h THEN 'HIT_MAX_TOKENS' END, CASE WHEN e THEN 'EXCEEDS_BUDGET' END], lambda x: x IS NOT NULL)) AS flag FROM o)
+    f"""WITH o AS (SELECT length({_OUT}) / greatest(1, length(text)) AS r, length({_OUT}) // 4 > (length(text) // 8) * 1.3 AS e, doc_id % 3 = 0 AS h, {_ENDS} AS c FROM documents), f AS (
+  SELECT unnest(list_filter([CASE WHEN r > 0.85 THEN 'NO_COMPRESSION' WHEN r > 0.65 THEN 'WEAK_COMPRESSION' END, CASE WHEN c THEN 'TRUNCATED' END, CASE WHEN h THEN 'HIT_MAX_TOKENS' END, CASE WHEN e THEN 'EXCEEDS_BUDGET' END], lambda x: x IS NOT NULL)) AS flag FROM o)
 SELECT flag, count(*) AS n FROM f GROUP BY flag""",
 )
 def failure_flags(t: Tables) -> DataFrame:
-    """How often each failure flag is set (V10, A24); truncation has fixtures."""
+    """How often each failure flag is set."""
     rows = outputs(t)
     flags = validate.failure_flags(F.col("output"), F.col("original"), F.col("budget"), F.when(F.col("doc_id") % 3 == 0, "length"), F.lit(1))
-    rows = rows.withColumn("flags", F.array_remove(flags, "TRUNCATED"))
-    return validate.flag_tally(rows, "flags", ["HIT_MAX_TOKENS", "NO_COMPRESSION"]).select("flag", "n")
+    return validate.flag_tally(rows.withColumn("flags", flags), "flags", ["HIT_MAX_TOKENS", "NO_COMPRESSION"]).select("flag", "n")
 
 
 # --- text ----------------------------------------------------------------

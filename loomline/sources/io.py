@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from loomline.plans import scratch
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt"
@@ -80,12 +82,17 @@ def batch_requests(samples: DataFrame, model: str, url: str = "/v1/chat/completi
 
 
 def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Append rows whose key is not stored yet and return them; a second run adds nothing (SK5, SK6)."""
+    """Append rows whose key is not stored yet and return them; a second run adds nothing (SK5, SK6).
+
+    What is returned is read back from a table in the shared folder; nothing stays cached.
+    """
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
     new = df.join(spark.read.schema(df.schema).json(path).select(key), key, "left_anti") if there else df
-    new = new.cache()
+    kept = scratch.folder(spark, "appended")
+    new.write.parquet(kept)
+    new = spark.read.schema(df.schema).parquet(kept)
     new.write.mode("append").json(path)
     return new
 

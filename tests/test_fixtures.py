@@ -87,6 +87,16 @@ def test_outputs_of_models(spark):
     assert one(spark, X.body_of(t, "a.c"), t="[SEG id=abc kind=k level=L1]x[/SEG]") == (False, None)
 
 
+def test_hints_lose_no_span(spark, data):
+    """Texts without a hint have no span: each group's matches, and every document."""
+    odd = ['File "a.py"', "line\u00a0:\u0663", " 12:3 ", "commit 0123abc", "http://x", "MyFault", "a_b_c", "aBcDe", "FooBarbaz", "'abcd/x'", "/workspace/x", "use numpy", "tests/a.py", "x", "é \u2003 plain"]
+    texts = [o + " " + "." * 60 for o in odd] + [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.col("t").rlike(spans.HINT).alias("hint")).collect()
+    hinted = {r["i"] for r in rows if r["hint"]}
+    assert {i for i, t in enumerate(texts) if spans.find(t, "file_read")} <= hinted and len(hinted) < len(texts)
+    assert sum(bool(spans.find(t, "file_read")) for t in texts[: len(odd)]) >= 12
+
+
 def test_sql_names(spark):
     from loomline.functions.register import register
 
