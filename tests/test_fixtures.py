@@ -515,7 +515,7 @@ def test_small_rules(spark):
     assert one(spark, X.command_frame(F.col("t")), t="Exit code: 0\nOutput:\nhello\n") == ("Exit code: 0\nOutput:\n", "hello\n")
     assert one(spark, X.intent_text(F.col("a"), F.col("b")), a=" why ", b="do it") == "why\n(overall task: do it)"
     assert one(spark, X.label_category(F.col("t")), t="Docstring kept") == "docstring" and one(spark, X.sanitized_source(F.col("t")), t=" a]b\nc ") == "a_b c"
-    assert one(spark, X.looks_truncated(F.col("t")), t="[SEG id=a] x") is True
+    assert one(spark, X.looks_truncated(F.col("t")), t="[SEG id=a kind=k level=L1] x") is True and one(spark, X.looks_truncated(F.col("t")), t="[SEG id=a] x") is False
 
 
 def test_keyword_search(spark, data):
