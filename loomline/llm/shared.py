@@ -1,26 +1,34 @@
 """Intermediate tables in the folder that every executor can reach.
 
 ``spark.checkpoint.dir`` names that folder; a machine-local one is set only
-where it is unset (tests, a laptop).  A table written here cuts lineage: a lost
-executor costs a re-read, not a recomputation.
+where it is unset and the master is local (tests, a laptop).  A table written here
+cuts lineage: a lost executor costs a re-read, not a recomputation.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder as a URI or path, set for this session if it was unset."""
+    """The shared folder as a URI or path, set for this session if it was unset.
+
+    On a cluster it must be set: executors would write to their own disks.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="loomline-")
     spark.sparkContext.setCheckpointDir(root)
     return root
@@ -37,6 +45,25 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writers, _before = threading.Lock(), 0, None
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting is on while any thread writes; the last one to end puts back what it was."""
+    global _writers, _before
+    with _lock:
+        if not _writers:
+            _before = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if not _writers:
+                spark.conf.unset(_CLEANUP) if _before is None else spark.conf.set(_CLEANUP, _before)
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
@@ -47,12 +74,8 @@ def save(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomline_path = path
     return out
