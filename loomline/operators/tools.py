@@ -15,6 +15,8 @@ TOP_K, SESSION_K, DYNAMIC_LEAST, DYNAMIC_MOST, ALPHA = 5, 8, 5, 20, 0.9
 MCP_THRESHOLD = 1.0
 LEAST_TOOLS = 5
 VECTOR_BLOCK = 8 << 20
+#: Text of queries that meets all rows at once; rows scored at once; words whose weights a task remembers.
+KEYWORD_BLOCK, KEYWORD_ROWS, KEYWORD_MEMO = 256 << 10, 512, 1 << 18
 
 
 def tool_text(tool: Column) -> Column:
@@ -59,6 +61,130 @@ def keyword_search(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return shared.unionByName(worded.join(named, "name").select("item_id", "doc_id", "w")).groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
 
 
+class _Keywords(dict):
+    """Keywords of an identifier, as :func:`loomline.functions.text.keywords` takes them, remembered."""
+
+    def __init__(self, most: int) -> None:
+        import re
+
+        self.most, self.word, self.part = most, re.compile("[a-zA-Z_][a-zA-Z0-9_]*").findall, re.compile("[a-z]+|[A-Z][a-z]*").findall
+
+    def __missing__(self, word: str) -> set[str]:
+        if len(self) >= self.most:
+            self.clear()
+        own = {word.lower(), *(p.lower() for p in self.part(word) if len(p) > 1)}
+        self[word] = own.difference(X.STOP_WORDS)
+        return self[word]
+
+    def of(self, text: str | None) -> set[str]:
+        return set().union(*(self[w] for w in set(self.word(text or ""))))
+
+
+class _Weights:
+    """What a word of a row adds to the score of each query of a block."""
+
+    SHORT = 32  # of longer query words the pieces are not listed but looked for
+
+    def __init__(self, queries: list[list[str]], most: int) -> None:
+        import numpy as np
+
+        self.n, self.most = len(queries), most
+        holders: dict[str, list[int]] = {}
+        for i, own in enumerate(queries):
+            for w in own:
+                holders.setdefault(w, []).append(i)
+        self.holders = {w: np.array(i) for w, i in holders.items()}
+        self.lengths = sorted({len(w) for w in holders})
+        self.words = list(holders)
+        self.text = "\n".join(self.words)
+        self.ends = np.cumsum([len(w) + 1 for w in self.words])
+        self.pieces = {w[i:j] for w in holders if len(w) <= self.SHORT for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+        self.long = "\n".join(w for w in holders if len(w) > self.SHORT)
+        self.memo: dict[str, tuple | None] = {}
+
+    def related(self, word: str) -> set[str]:
+        """Query words that the word holds or that hold it, without itself."""
+        from bisect import bisect_right
+
+        n = len(word)
+        found = {part for k in self.lengths if k <= n for i in range(n - k + 1) if (part := word[i : i + k]) in self.holders}
+        if n < self.lengths[-1] and (word in self.pieces or word in self.long):
+            at = self.text.find(word)
+            while at >= 0:
+                k = bisect_right(self.ends, at)
+                found.add(self.words[k])
+                at = self.text.find(word, int(self.ends[k]))
+        return found - {word}
+
+    def of(self, word: str) -> tuple | None:
+        """Numbers of queries and what each gets; none if nothing."""
+        import numpy as np
+
+        if word not in self.memo:
+            if len(self.memo) >= self.most:
+                self.memo.clear()
+            own = [(self.holders[w], 0.5) for w in self.related(word)]
+            if word in self.holders:
+                own.append((self.holders[word], 2.0))
+            self.memo[word] = (np.concatenate([i for i, _ in own]), np.repeat([w for _, w in own], [len(i) for i, _ in own])) if own else None
+        return self.memo[word]
+
+    def score(self, words: set[str], name: set[str]):
+        import numpy as np
+
+        parts = [x for x in map(self.of, words) if x]
+        parts += [(self.holders[w], np.full(len(self.holders[w]), 3.0)) for w in name if words and w in self.holders]
+        if not parts:
+            return np.zeros(self.n)
+        numbers, weights = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return np.bincount(numbers, weights, self.n)
+
+
+def _best_by_keywords(queries: list[tuple], k: int, at_once: int, memo: int):
+    """The ``k`` best rows of a partition for each query of a block, as :func:`_best`."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        weights, keywords, ids = _Weights([words for _, words in queries], memo), _Keywords(memo), np.array([i for i, _ in queries], np.int64)
+        held = [np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)]
+        for batch in batches:
+            for first in range(0, batch.num_rows, at_once):
+                doc, texts, names = (c.to_pylist() for c in batch.slice(first, at_once).columns)
+                scores = np.array([weights.score(keywords.of(t), keywords.of(m)) for t, m in zip(texts, names, strict=True)])
+                own = np.hstack([held[1], np.tile(np.array(doc, np.int64), (len(ids), 1))])
+                score = np.hstack([held[0], scores.T])
+                order = np.lexsort((own, -score), axis=1)[:, :k]
+                held = [np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)]
+        n = held[0].shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(held[1].ravel()), pa.array(held[0].ravel())], names=["item_id", "doc_id", "score"])
+
+    return run
+
+
+def keyword_best(queries: DataFrame, docs: DataFrame, k: int, block: int = KEYWORD_BLOCK, at_once: int = KEYWORD_ROWS, memo: int = KEYWORD_MEMO) -> DataFrame:
+    """``item_id, doc_id, score, rank``: the ``k`` best rows of ``docs(doc_id, d, name)`` for each of ``queries(item_id, q)``.
+
+    Scores are those of :func:`keyword_scores`; rows of score 0 are none, ties go by
+    doc_id.  Queries go out in blocks of bounded text and meet all rows in one map
+    pass a block; a partition keeps ``k`` a query, so neither pairs nor words are
+    shuffled.  Rows without an id are left out.
+    """
+    spark = docs.sparkSession
+    own = queries.filter("item_id is not null").select("item_id", X.keywords(F.col("q")).alias("words"))
+    size = own.agg(F.sum(F.octet_length(F.array_join("words", " ")))).first()[0] or 0
+    blocks = max(1, -(-size // block))
+    rows = docs.filter("doc_id is not null").select("doc_id", "d", "name")
+    schema = "item_id long, doc_id long, score double"
+    out = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        asked = own.filter((F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) & (F.size("words") > 0)).orderBy("item_id").collect()
+        if asked:
+            out = out.unionAll(rows.mapInArrow(_best_by_keywords([(r[0], list(r[1])) for r in asked], k, at_once, memo), schema))
+    return top_k(out.filter("score > 0"), ["item_id"], k, pos="doc_id").filter("kept").drop("kept")
+
+
 def top_k(scored: DataFrame, by: list[str], k: int, score: str = "score", pos: str = "pos", positive: bool = False) -> DataFrame:
     """``rank`` from 0 and ``kept``: the ``k`` best of each query, ties by position."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), pos)

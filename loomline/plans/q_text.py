@@ -361,8 +361,7 @@ def mcp_selection(t: Tables) -> DataFrame:
 def keyword_scores(t: Tables) -> DataFrame:
     """The five documents with the highest keyword scores of each item, whole texts of both."""
     docs = t("documents").select("doc_id", F.col("text").alias("d"), F.col("source").alias("name"))
-    rows = tools.keyword_search(t("benchmark").select("item_id", F.col("text").alias("q")), docs)
-    return tools.top_k(rows, ["item_id"], 5, pos="doc_id", positive=True).filter("kept").select("item_id", "doc_id", "score", "rank")
+    return tools.keyword_best(t("benchmark").select("item_id", F.col("text").alias("q")), docs, 5)
 
 
 # --- compression ---------------------------------------------------------

@@ -527,6 +527,9 @@ def test_keyword_search(spark, data):
     every = tools.keyword_scores(q.crossJoin(d), "q", "d", "name").filter("score > 0")
     key = lambda df: sorted((r["item_id"], r["doc_id"], r["score"]) for r in df.collect())
     assert key(tools.keyword_search(q, d)) == key(every) != []
+    for k in (1, 2, 9):
+        assert key(tools.keyword_best(q, d, k)) == key(tools.top_k(every, ["item_id"], k, pos="doc_id").filter("kept"))
+    assert tools.keyword_best(q.limit(0), d, 3).count() == tools.keyword_best(q, d.limit(0), 3).count() == 0
     from loomline.plans import q_text, scratch  # noqa: F401
     from loomline.plans.registry import QUERIES
 
@@ -539,3 +542,6 @@ def test_keyword_search(spark, data):
     pairs = items.select("item_id", F.col("text").alias("q")).crossJoin(docs.select("doc_id", F.col("text").alias("d"), F.col("source").alias("name")))
     best = tools.top_k(tools.keyword_scores(pairs, "q", "d", "name"), ["item_id"], 5, pos="doc_id", positive=True).filter("kept")
     assert key(QUERIES["keyword_scores"](spark, path)) == key(best) != []
+    # Several blocks of queries, few rows at once, a memo that runs over.
+    rows = docs.select("doc_id", F.col("text").alias("d"), F.col("source").alias("name"))
+    assert key(tools.keyword_best(items.select("item_id", F.col("text").alias("q")), rows, 5, block=500, at_once=3, memo=50)) == key(best)
