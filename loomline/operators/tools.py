@@ -81,7 +81,7 @@ class _Keywords(dict):
 
 
 class _Weights:
-    """What a word of a row adds to the score of each query of a block."""
+    """What the words of a row add to the score of each query of a block, in halves."""
 
     SHORT = 32  # of longer query words the pieces are not listed but looked for
 
@@ -93,51 +93,56 @@ class _Weights:
         for i, own in enumerate(queries):
             for w in own:
                 holders.setdefault(w, []).append(i)
-        self.holders = {w: np.array(i) for w, i in holders.items()}
-        self.lengths = sorted({len(w) for w in holders})
         self.words = list(holders)
+        self.number = {w: k for k, w in enumerate(self.words)}
+        self.queries, self.size = np.concatenate([np.array(q) for q in holders.values()]), np.array([len(q) for q in holders.values()])
+        self.first = np.cumsum(self.size) - self.size
+        self.lengths = sorted({len(w) for w in holders})
         self.text = "\n".join(self.words)
-        self.ends = np.cumsum([len(w) + 1 for w in self.words])
+        self.ends = np.cumsum([len(w) + 1 for w in self.words]).tolist()
         self.pieces = {w[i:j] for w in holders if len(w) <= self.SHORT for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
         self.long = "\n".join(w for w in holders if len(w) > self.SHORT)
-        self.memo: dict[str, tuple | None] = {}
+        self.memo: dict[str, list[int]] = {}
 
-    def related(self, word: str) -> set[str]:
-        """Query words that the word holds or that hold it, without itself."""
+    def related(self, word: str) -> set[int]:
+        """Numbers of the query words that the word holds or that hold it, its own among them."""
         from bisect import bisect_right
 
-        n = len(word)
-        found = {part for k in self.lengths if k <= n for i in range(n - k + 1) if (part := word[i : i + k]) in self.holders}
+        n, number = len(word), self.number
+        found = {number[part] for k in self.lengths if k <= n for i in range(n - k + 1) if (part := word[i : i + k]) in number}
         if n < self.lengths[-1] and (word in self.pieces or word in self.long):
             at = self.text.find(word)
             while at >= 0:
                 k = bisect_right(self.ends, at)
-                found.add(self.words[k])
-                at = self.text.find(word, int(self.ends[k]))
-        return found - {word}
-
-    def of(self, word: str) -> tuple | None:
-        """Numbers of queries and what each gets; none if nothing."""
-        import numpy as np
-
-        if word not in self.memo:
+                found.add(k)
+                at = self.text.find(word, self.ends[k])
+        return found
+
+    def of(self, word: str) -> list[int]:
+        """Numbers of query words, once for each half that the word adds: the same word adds 2, others .5."""
+        found = self.memo.get(word)
+        if found is None:
             if len(self.memo) >= self.most:
                 self.memo.clear()
-            own = [(self.holders[w], 0.5) for w in self.related(word)]
-            if word in self.holders:
-                own.append((self.holders[word], 2.0))
-            self.memo[word] = (np.concatenate([i for i, _ in own]), np.repeat([w for _, w in own], [len(i) for i, _ in own])) if own else None
-        return self.memo[word]
+            found = list(self.related(word))
+            if word in self.number:
+                found += 3 * [self.number[word]]
+            self.memo[word] = found
+        return found
 
     def score(self, words: set[str], name: set[str]):
         import numpy as np
 
-        parts = [x for x in map(self.of, words) if x]
-        parts += [(self.holders[w], np.full(len(self.holders[w]), 3.0)) for w in name if words and w in self.holders]
-        if not parts:
+        halves = [k for w in words for k in self.of(w)]
+        if words:
+            halves += [self.number[w] for w in name if w in self.number for _ in range(6)]
+        if not halves:
             return np.zeros(self.n)
-        numbers, weights = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return np.bincount(numbers, weights, self.n)
+        count = np.bincount(halves)
+        met = np.flatnonzero(count)
+        size = self.size[met]
+        at = np.repeat(self.first[met] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.queries[at], np.repeat(count[met], size), self.n) / 2
 
 
 def _best_by_keywords(queries: list[tuple], k: int, at_once: int, memo: int):
