@@ -23,6 +23,7 @@ PREAMBLES = (
     "Here is the compressed", "Here's the compressed", "I have compressed", "Below is the compressed",
     "Compressed version:", "The compressed", "I've compressed", "Sure, here",
 )
+CHAT_PATH, SUBSCRIPTION_URL = "/chat/completions", "https://chatgpt.com/backend-api/codex/responses"
 QA_STARTS = ("Yes,", "No,", "The answer is", "To answer", "Based on")
 STOP_WORDS = (
     "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
@@ -373,5 +374,20 @@ def touched_files(diff: Column) -> Column:
     return F.array_distinct(F.when(F.size(headers) > 0, headers).otherwise(plain))
 
 
+def chat_url(base: Column) -> Column:
+    """Where chat requests go: a base that names the endpoint as it is, one with a version in its path
+    with the endpoint, any other with version 1 before it (R32)."""
+    own = F.regexp_replace(base, r"/+\z", "")
+    path = F.regexp_extract(own, r"\A(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    versioned = F.when(path.rlike(r"/v[0-9]"), F.lit(CHAT_PATH)).otherwise(F.lit("/v1" + CHAT_PATH))
+    return F.when(own.endswith(CHAT_PATH), own).otherwise(F.concat(own, versioned))
+
+
+def responses_url(authorization: Column, base: Column, subscription: str = SUBSCRIPTION_URL) -> Column:
+    """Where a request for a response goes: with a token that is no key to the subscription's endpoint."""
+    token = F.when(authorization.startswith("Bearer "), F.substring(authorization, 8, F.length(authorization))).otherwise("")
+    return F.when((token != "") & ~token.startswith("sk-"), F.lit(subscription)).otherwise(F.concat(base, F.lit("/v1/responses")))
+
+
 def is_result(kind: Column) -> Column:
     return kind.isin(*RESULT_KINDS)

@@ -66,13 +66,13 @@ def with_prior(blocks: DataFrame, order: str = "seq") -> DataFrame:
     return blocks.withColumn("prior_id", X.content_id(own)).withColumn("contained", F.coalesce((norm == prior) | prior.contains(norm), F.lit(False)))
 
 
-def compress(blocks: DataFrame, compressor: Compressor = linting, cache: DataFrame | None = None, least: int = LEAST, most: int = MOST) -> DataFrame:
+def compress(blocks: DataFrame, compressor: Compressor = linting, cache: DataFrame | None = None, least: int = LEAST, most: int = MOST, refusal: float = REFUSAL) -> DataFrame:
     """``blocks(seq, content, kind, level, intent, path, pinned)`` with what becomes of each.
 
     Adds ``content_id, reason, output, original_tokens, compressed_tokens,
     cache_hit``.  The first rule that holds decides: tagged, pinned, contained in
     the latest read of its path, too small, too large, cached, then the compressor,
-    whose empty or weak output (under 5 % saved) is refused (PF9, PF10, J13, J14, Q11).
+    whose empty or weak output (under ``refusal`` saved) is refused (PF9, PF10, J13, J14, Q11).
     """
     rows = with_prior(blocks).withColumns({"content_id": X.content_id(F.col("content")), "original_tokens": X.tokens_ceil(F.col("content"))})
     reason = (
@@ -93,7 +93,7 @@ def compress(blocks: DataFrame, compressor: Compressor = linting, cache: DataFra
     rows = rows.join(made, "content_id", "left")
     text = F.coalesce("cached", "made")
     tokens = X.tokens_ceil(text)
-    refused = F.when(text.isNull(), "compressor_error").when(~text.rlike(r"\S"), "empty_output").when(tokens > F.col("original_tokens") * (1 - REFUSAL), "ineffective")
+    refused = F.when(text.isNull(), "compressor_error").when(~text.rlike(r"\S"), "empty_output").when(tokens > F.col("original_tokens") * (1 - refusal), "ineffective")
     reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("cache_hit"), F.lit(None)).otherwise(refused)
     rows = rows.withColumns({"reason": reason, "_text": text})
     tagged = F.concat(X.reference_tag(F.col("content"), F.col("path")), F.lit("\n"), F.col("_text"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,6 +257,49 @@ def nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return out.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).filter(F.col("rank") < k)
 
 
+def embedder(load: Callable[[], Callable[[list[str]], object]]) -> Callable[[Column], Column]:
+    """A column function from text to a vector of length one.
+
+    ``load`` runs once a task and gives the encoder: a function from texts to a matrix.
+    A null text is an empty one; a vector of zeros stays.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        encode = load()
+        for texts in batches:
+            v = np.asarray(encode(texts.fillna("").tolist()), np.float64)
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if len(v) else v
+            yield pd.Series(list(v), dtype="object")
+
+    return run
+
+
+def hashed_words(dimensions: int = 256) -> Callable[[], Callable[[list[str]], object]]:
+    """An encoder without weights: words counted in buckets of their MD5."""
+
+    def load():
+        import re
+        from hashlib import md5
+
+        import numpy as np
+
+        words = re.compile("[a-z0-9]+").findall
+
+        def encode(texts: list[str]):
+            out = np.zeros((len(texts), dimensions))
+            for row, text in zip(out, texts, strict=True):
+                for w in words(text.lower()):
+                    row[int(md5(w.encode()).hexdigest()[:8], 16) % dimensions] += 1
+            return out
+
+        return encode
+
+    return load
+
+
 def dynamic_k(ranked: DataFrame, by: list[str], alpha: float = ALPHA, least: int = DYNAMIC_LEAST, most: int = DYNAMIC_MOST) -> DataFrame:
     """``kept``: items whose score is near the best, at least and at most so many."""
     best = F.max("score").over(Window.partitionBy(*by))

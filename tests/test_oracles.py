@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomline.plans import q_levels, q_rules, q_sampling, q_text  # noqa: F401
+from loomline.plans import q_levels, q_rules, q_sampling, q_store, q_text  # noqa: F401
 from loomline.plans.registry import ORACLE_SQL, QUERIES
 from tests.compare import connect, same
 
