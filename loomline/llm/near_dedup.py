@@ -9,8 +9,8 @@ A band bucket never becomes all of its pairs.  First its members are linked to
 one pivot, the member that shares most buckets with others: of a group of copies
 that is near the original.  Only buckets whose members still lie in different
 components go on.  There, blocks of the members outside the pivot's component are
-held against all of the bucket's rows, whole set by whole set inside one row, and
-only links leave the comparison.  Every member outside is in one block, so in the
+held against all of the bucket's rows, whole set by whole set in Arrow passes over
+parts of the bucket, and only links leave the comparison.  Every member outside is in one block, so in the
 end every pair across components has been compared, also those that the signatures
 put off.  Rounds take one block, two, four and so on of every bucket: what a round
 links need not be compared in the next, and rounds are few.
@@ -19,6 +19,7 @@ links need not be compared in the next, and rounds are few.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,10 @@ BANDS, ROWS = 40, 4  # a pair at the threshold is missed with probability (1 - .
 SIGNATURE_LEAST = 55
 #: Members of a bucket that one block holds against its rows, about, and shingles in them.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Blocks that the rows of one part of a bucket make, about.
+PART = 4
+#: Values in more than this fraction (1 / DENSE) of all pairs go by columns of a matrix, so many at a time; the rest by so many pairs at a time.
+DENSE, COLUMNS, PAIRS = 32, 1024, 1 << 20
 
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, minima array<tinyint>"
 
@@ -115,6 +120,139 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([block.column("node").cast(pa.int64()), _lists(flat.view(np.int64), bounds)], names=["node", "shingles"])
 
 
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, flat, and its bounds from 0."""
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), bounds - bounds[0]
+
+
+@dataclass
+class _Members:
+    """Members of a bucket: ids, components, whether they are chosen, bands and whole sets."""
+
+    node: np.ndarray
+    component: np.ndarray
+    own: np.ndarray
+    bands: np.ndarray
+    flat: np.ndarray
+    bounds: np.ndarray
+
+    def __getitem__(self, at: slice) -> _Members:
+        start, stop, _ = at.indices(len(self.node))
+        bounds = self.bounds[start : stop + 1]
+        return _Members(self.node[at], self.component[at], self.own[at], self.bands[at], self.flat[bounds[0] : bounds[-1]], bounds - bounds[0])
+
+    def chosen(self) -> _Members:
+        size = np.diff(self.bounds)
+        own = self.own
+        return _Members(self.node[own], self.component[own], own[own], self.bands[own], self.flat[np.repeat(own, size)], np.concatenate([[0], np.cumsum(size[own])]))
+
+    def blocks(self) -> Iterator[_Members]:
+        """Slices of at most ``BLOCK`` members with ``BLOCK_SHINGLES`` shingles (one member at least)."""
+        at = 0
+        while at < len(self.node):
+            to = max(at + 1, min(at + BLOCK, int(np.searchsorted(self.bounds, self.bounds[at] + BLOCK_SHINGLES, "right")) - 1))
+            yield self[at:to]
+            at = to
+
+
+def _joined(parts: list[_Members]) -> _Members:
+    if len(parts) == 1:
+        return parts[0]
+    starts = np.cumsum([0] + [len(p.flat) for p in parts])
+    bounds = np.concatenate([[0], *(p.bounds[1:] + s for p, s in zip(parts, starts, strict=False))])
+    return _Members(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("node", "component", "own", "bands", "flat")), bounds)
+
+
+def overlaps(x: np.ndarray, x_bounds: np.ndarray, y: np.ndarray, y_bounds: np.ndarray) -> np.ndarray:
+    """How many values each of the sets ``x`` shares with each of the sets ``y``.
+
+    A value in many sets of both sides is a column of a product of matrices, any
+    other adds one to each pair that shares it.
+    """
+    nx, ny = len(x_bounds) - 1, len(y_bounds) - 1
+    both = np.zeros(nx * ny, np.int64)
+    _, word = np.unique(np.concatenate([x, y]), return_inverse=True)
+    xw, yw = word[: len(x)], word[len(x) :]
+    n = int(word.max(initial=-1)) + 1
+    xo, yo = np.repeat(np.arange(nx), np.diff(x_bounds)), np.repeat(np.arange(ny), np.diff(y_bounds))
+    x_has, y_has = np.bincount(xw, minlength=n), np.bincount(yw, minlength=n)
+    often = (x_has * y_has * DENSE > nx * ny) & (nx * ny > COLUMNS)
+    column = np.cumsum(often) - 1
+    sides = []
+    for owner, w in ((xo, xw), (yo, yw)):
+        own = np.flatnonzero(often[w])
+        own = own[np.argsort(column[w[own]], kind="stable")]
+        sides.append((owner[own], column[w[own]]))
+    for at in range(0, int(often.sum()), COLUMNS):
+        dense = []
+        for rows, (owner, c) in zip((nx, ny), sides, strict=True):
+            a, b = np.searchsorted(c, [at, at + COLUMNS])
+            dense.append(np.zeros((rows, COLUMNS), np.float32))
+            dense[-1][owner[a:b], c[a:b] - at] = 1
+        both += (dense[0] @ dense[1].T).astype(np.int64).reshape(-1)
+    xs = np.flatnonzero((y_has[xw] > 0) & ~often[xw])
+    order, first = np.argsort(yw, kind="stable"), np.concatenate([[0], np.cumsum(y_has)])
+    ends = np.cumsum(y_has[xw[xs]])
+    at = 0
+    while at < len(xs):  # pairs by the million
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        own, times = xs[at:to], y_has[xw[xs[at:to]]]
+        nth = np.arange(ends[to - 1] - before) - np.repeat(ends[at:to] - times - before, times)
+        both += np.bincount(np.repeat(xo[own] * ny, times) + yo[order[np.repeat(first[xw[own]], times) + nth]], minlength=nx * ny)
+        at = to
+    return both.reshape(nx, ny)
+
+
+def _linked(bucket: int, held: _Members, others: _Members, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links across components; a pair is told in the first bucket that it shares, so that none is repeated."""
+    apart = held.component[:, None] != others.component[None, :]
+    if not apart.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = overlaps(held.flat, held.bounds, others.flat, others.bounds)
+    size = np.diff(held.bounds)[:, None] + np.diff(others.bounds)[None, :]
+    i, j = np.nonzero(apart & (100 * both >= similarity * (size - both)))
+    band = (held.bands[i] == others.bands[j]).argmax(axis=1) if len(i) else i
+    told = held.bands[i, band] == bucket
+    i, j = i[told], j[told]
+    return np.minimum(held.node[i], others.node[j]), np.maximum(held.node[i], others.node[j])
+
+
+def _met(similarity: int):
+    """Compares the rows of each part of a bucket, which come first, with its own chosen ones and those that visit."""
+
+    def links(bucket: int, held: _Members, others: _Members) -> Iterator[pa.RecordBatch]:
+        for rows in held.blocks():
+            for block in others.blocks():
+                u, v = _linked(bucket, rows, block, similarity)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, waiting, held = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, part, visits, node, component, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("bucket", "part", "visits", "node", "component", "own"))
+            members = _Members(node, component, own, _ragged(batch.column("bands"))[0].reshape(len(node), -1), *_ragged(batch.column("shingles")))
+            new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (visits[1:] != visits[:-1])) + 1
+            for a, b in zip([0, *new], [*new, len(node)], strict=True):
+                if waiting and (visits[a] or (bucket[a], part[a]) != key):
+                    held, waiting = _joined(waiting), []
+                    yield from links(key[0], held, held.chosen())
+                key = bucket[a], part[a]
+                if visits[a]:
+                    yield from links(key[0], held, members[a:b])
+                else:
+                    waiting.append(members[a:b])
+        if waiting:
+            held = _joined(waiting)
+            yield from links(key[0], held, held.chosen())
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs ``(a, b)`` of which the signatures and then the whole sets are similar enough."""
     for side in "ab":
@@ -130,25 +268,19 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, similarity:
 def _across(rows: DataFrame, sets: DataFrame, first: int, upto: int, similarity: int) -> DataFrame:
     """Links between some blocks of the members outside and all rows of open buckets.
 
-    ``rows``: (bucket, node, component, anchor, blocks), ``sets``: (node, bands,
-    shingles).  A pair is compared in the first bucket that it shares, which needs
-    no step to remove repeated pairs.
+    ``rows``: (bucket, node, component, anchor, blocks, parts), ``sets``: (node, bands,
+    shingles).  Every row is held in one part of its bucket; the chosen members
+    outside also visit the other parts.
     """
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    own = rows.filter((F.col("component") != F.col("anchor")) & (block >= first) & (block < upto)).select("bucket", block.alias("block"), "node", "component")
-    chosen = own.join(sets, "node").groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "component", "bands", "shingles")).alias("outside"), F.min("node").alias("first"))
+    block, part = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))
+    rows = rows.withColumns({"own": (F.col("component") != F.col("anchor")) & (block >= first) & (block < upto), "part": part})
     if first:  # buckets without members outside any more go
-        rows = rows.join(own.select("bucket").distinct(), "bucket", "left_semi")
-    held = rows.select("bucket", "node", "component").join(sets, "node").join(_dealt(chosen, "first", "bucket", "block"), "bucket")
-
-    def linked(p):
-        first = F.get(F.filter(F.arrays_zip(F.col("bands").alias("x"), p["bands"].alias("y")), lambda z: z["x"] == z["y"]), 0)["x"]
-        both = F.size(F.array_intersect(F.col("shingles"), p["shingles"]))
-        near = 100 * both >= similarity * (F.size("shingles") + F.size(p["shingles"]) - both)
-        return F.when(p["component"] == F.col("component"), F.lit(False)).when(first != F.col("bucket"), F.lit(False)).otherwise(near)
-
-    links = held.select("node", F.explode(F.transform(F.filter("outside", linked), lambda p: p["node"])).alias("a"))
-    return links.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v"))
+        rows = rows.join(rows.filter("own").select("bucket").distinct(), "bucket", "left_semi")
+    named = ["bucket", "part", "visits", "node", "component", "own"]
+    visits = rows.filter("own and parts > 1").withColumn("home", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = rows.withColumn("visits", F.lit(False)).select(*named).union(visits.filter("part <> home").withColumn("visits", F.lit(True)).select(*named))
+    met = met.join(sets, "node").select(*named, "bands", "shingles").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "visits")
+    return met.mapInArrow(_met(similarity), "u long, v long")
 
 
 def _merged(label: DataFrame, found: DataFrame) -> DataFrame:
@@ -222,13 +354,15 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int =
 
     # Only buckets with members outside their pivot's component have pairs left that matter.
     now = placed(paired.select("bucket", "node", "n"))
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.max("n"))))
-    outside = now.filter("component <> anchor").groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    left = save(now.join(_dealt(outside, "blocks", "bucket"), "bucket").select("bucket", "node", "component", "anchor", "blocks"), "open")
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.max("n"))))
+    outside = F.count_if(F.col("component") != F.col("anchor"))
+    size = now.groupBy("bucket").agg(F.ceil(outside / room).cast("int").alias("blocks"), F.ceil(F.count("*") / (PART * room)).alias("parts"), (F.min("component") < F.max("component")).alias("several"))
+    size = size.filter("several and blocks > 0").select("bucket", "blocks", "parts")
+    left = save(now.join(_dealt(size, "blocks", "bucket"), "bucket").select("bucket", "node", "component", "anchor", "blocks", "parts"), "open")
     drop(paired)
     most, first, width = left.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0], 0, 1
     while first < most:
-        rows = placed(left.filter(F.col("blocks") > first).select("bucket", "node", "blocks")) if first else left
+        rows = placed(left.filter(F.col("blocks") > first).select("bucket", "node", "blocks", "parts")) if first else left
         found = save(_across(rows, sets, first, first + width, similarity), "across")
         if not found.isEmpty():
             label = _merged(label, found)

@@ -7,6 +7,8 @@ from itertools import combinations
 
 import numpy as np
 
+from loomline.llm import components as stars
+from loomline.llm import near_dedup
 from loomline.llm.components import components
 from loomline.llm.near_dedup import near_duplicates
 from tests.llm.conftest import SCHEMA, prose
@@ -117,3 +119,34 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    """Links beyond those that one task takes: the same components by stars."""
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (129, 500), (500, 129)]
+    links = spark.createDataFrame(edges, "u long, v long")
+    alone = sorted(map(tuple, components(links).collect()))
+    monkeypatch.setattr(stars, "FEW", 0)
+    assert alone == sorted(map(tuple, components(links).collect())) == [(k, 0) for k in range(41)] + [(k, 100) for k in [*range(100, 130), 500]]
+    assert components(links.limit(0)).collect() == []
+
+
+def test_overlaps():
+    """Sizes of intersections, by columns of matrices and by single pairs alike."""
+    rng = np.random.default_rng(3)
+    for nx, ny, most, values in ((60, 50, 100, 300), (50, 60, 40, 20_000), (2, 3, 500, 600), (3, 0, 5, 9)):
+        x, y = ([np.unique(rng.integers(0, values, rng.integers(0, most))) for _ in range(n)] for n in (nx, ny))
+        flat = [(np.concatenate([np.zeros(0, np.int64), *s]), np.concatenate([[0], np.cumsum([len(v) for v in s])]).astype(np.int64)) for s in (x, y)]
+        assert near_dedup.overlaps(*flat[0], *flat[1]).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+
+
+def test_wide_bucket(spark):
+    """A bucket of texts that share a passage goes in parts through Arrow, set by set in blocks."""
+    rng = np.random.default_rng(5)
+    n = 1200
+    sets = [(k, [1], sorted({*range(70), *(int(v) for v in rng.integers(1000, 10**9, 30))})) for k in range(n)]
+    sets += [(n + k, [1], [*s[:-1], -1]) for k, (_, _, s) in enumerate(sets[:50])]
+    rows = spark.createDataFrame([(1, k, k, 0, 5, 2) for k, _, _ in sets], "bucket long, node long, component long, anchor long, blocks int, parts long")
+    found = near_dedup._across(rows, spark.createDataFrame(sets, "node long, bands array<long>, shingles array<long>"), 0, 5, 75)
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and "array_intersect" not in found._jdf.queryExecution().toString()
+    assert {tuple(r) for r in found.collect()} == {(k, n + k) for k in range(50)}
