@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import decontaminate, language_id, near_dedup, packing, secrets
+from loomline.llm.membership import among, without
 from loomline.llm.queries import TOKENIZER
-from loomline.llm.shared import drop, save
+from loomline.llm.shared import save
 from loomline.plans.session import ship
 
 
@@ -34,17 +35,16 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     apart from their copies and stay.  Null and empty texts are no copies.
     """
     ship(spark)
-    kept = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = save(kept, "kept")
-    out = docs.join(kept.filter("_rows = 1"), "doc_id", "left_semi").select(*docs.columns)
-    several = kept.filter("_rows > 1")
+    told = near_dedup.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"), F.bool_or("kept").alias("_kept"))
+    # Most documents stay as they are: those that do not are looked up, and no other text is moved.
+    told = save(told.filter("_rows > 1 or not _kept"), "told")
+    out = without(docs, told.select("doc_id"), "doc_id")
+    several = told.filter("_kept").select("doc_id")
     if several.isEmpty():
-        drop(several)
-    else:
-        row = F.struct(*docs.columns)
-        first = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text", F.to_json(row))).alias("_row"))
-        out = out.unionAll(first.select("_row.*"))
-    return out.unionAll(docs.filter("doc_id is null"))
+        return out
+    row = F.struct(*docs.columns)
+    first = among(docs, several, "doc_id").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text", F.to_json(row))).alias("_row"))
+    return out.unionAll(first.select("_row.*"))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as at
 from .components import components
+from .membership import likely
 from .shared import drop, save
 
 SHINGLE = 5
@@ -339,13 +340,16 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int =
     drop(shared)
     pivot = save(pool.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot")), "pivots")
     paired = save(pool.join(pivot, "bucket").filter("node <> pivot"), "paired")
-    wanted = pool.select("node").distinct()
-    sets = texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").mapInArrow(_sets, "node long, shingles array<long>")
-    sets = save(sets.dropDuplicates(["node", "shingles"]).join(own.select("node", "bands"), "node"), "sets")
+    wanted = save(pool.select("node").distinct(), "wanted")
+    # Texts stay where they are, sets of the wanted ones are dealt out.
+    sets = likely(texts.withColumnRenamed("doc_id", "node"), wanted, "node").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = sets.dropDuplicates(["node", "shingles"]).join(likely(own.select("node", "bands"), wanted, "node"), "node")
+    sets = save(sets.join(wanted, "node", "left_semi"), "sets")
     links = _confirmed(paired.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), own, sets, similarity)
     label = save(wanted.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
     drop(own)
     drop(pool)
+    drop(wanted)
 
     def placed(rows: DataFrame) -> DataFrame:
         """Rows of buckets with their component and that of the bucket's pivot."""

@@ -1,5 +1,7 @@
 """Each stage on awkward and on ordinary input, and the whole."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -46,6 +48,30 @@ def test_rows_of_one_id(spark, data):
     assert sorted(r["doc_id"] for r in P.deduplicate(spark, docs.filter("doc_id > 1"), data).collect()) == [2]
 
 
+def test_copies_alone_are_moved(spark, data):
+    """Texts without a copy stay where they lie, whatever is broadcast: less than a text a document is shuffled in all."""
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(1500)) for _ in range(150)]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate([*texts, *(f"{t} end" for t in texts[:5])])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).localCheckpoint()
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def moved():
+        """Bytes of shuffles, by stage."""
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before = set(moved())
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = [r["doc_id"] for r in P.deduplicate(spark, docs, data).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(left) == list(range(150))
+    assert sum(n for k, n in moved().items() if k not in before) < 0.5 * sum(map(len, texts))
+
+
 def test_language_is_no_letter_filter(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     odd = docs.limit(1).withColumn("doc_id", F.lit(10**9).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.lit("Это предложение на другом языке."))
